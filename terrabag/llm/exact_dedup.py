@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     suspects = flagged.filter("dup").select("did", "sha")
     groups = materialize(suspects.groupBy("sha").agg(F.max("did").alias("keep"), F.count(F.lit(1)).alias("size")).withColumn("copies", F.ceil(F.col("size") / PER_COPY).cast("int")), "op10-groups")
     wanted = suspects.select("did").distinct()
-    bodies = materialize(norm.join(wanted, "did", "left_semi").select("did", "norm", F.unhex(F.sha2("norm", 256)).alias("sha")), "op10-suspects")
+    bodies = materialize(norm.join(wanted.hint("merge"), "did", "left_semi").select("did", "norm", F.unhex(F.sha2("norm", 256)).alias("sha")), "op10-suspects")
     reps = (
         bodies.join(groups.withColumnRenamed("sha", "gsha"), (F.col("did") == F.col("keep")) & (F.col("sha") == F.col("gsha")))
         .dropDuplicates(["sha"])
