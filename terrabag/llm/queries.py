@@ -7,6 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .near_dedup import near_dedup
+from .secret_scan import secret_spans
+from .token_count import token_counts
+
+#: Tokenizer files are public and stay where they are installed; another place can be named here.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), percent=85, width=5)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +50,13 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_near_dedup": op1_near_dedup,
+        "op2_token_counts": op2_token_counts,
+        "op3_secret_spans": op3_secret_spans,
+        "op6_language_id": op6_language_id,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
