@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .packing import pack
 from .secret_scan import secret_spans
+from .suffix_dedup import repeated_bytes
 from .token_count import token_counts
 from .winnowing import fingerprints
 
@@ -32,6 +33,10 @@ def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(documents(spark, sf_dir))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_secret_spans": op3_secret_spans,
+        "op4_repeated_bytes": op4_repeated_bytes,
         "op5_pack": op5_pack,
         "op6_language_id": op6_language_id,
         "op7_line_dedup": op7_line_dedup,
