@@ -1,10 +1,58 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, source mixing, packing."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of documents; the last
+returns packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from terrabag.llm.common import materialize
+from terrabag.llm.language_id import keep_known_languages
+from terrabag.llm.line_dedup import line_dedup
+from terrabag.llm.mixing import mix_sources
+from terrabag.llm.near_dedup import keep_one_of_each
+from terrabag.llm.packing import pack
+from terrabag.llm.queries import TOKENIZERS, documents
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known."""
+    return keep_known_languages(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that recur elsewhere."""
+    return line_dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one_of_each(docs, percent=80, width=5)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that sources have their target weights, shuffled."""
+    return mix_sources(docs, seed=42).select(*docs.columns)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mix_sources", mix_stage), ("pack", pack_stage)]
+
+#: MinHash and language vectors have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over all documents."""
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{name}")
+    return docs

@@ -46,14 +46,11 @@ def _unsigned(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _sender(bits: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for pid in np.unique(own := b.column(0).to_numpy()):
-                got.setdefault(int(pid), []).append(_unsigned(b.column(1))[own == pid])
-        for pid, parts in got.items():
-            rows = [(pid, o, golomb.encode(v), np.packbits(twice).tobytes()) for o, v, twice in _runs(np.concatenate(parts), bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["pid", "owner", "run", "twice"])
+    def send(table: pa.Table) -> pa.Table:
+        """All rows of one partition, so that its answer fits its run."""
+        pid = table.column("pid")[0].as_py()
+        rows = [(pid, o, golomb.encode(v), np.packbits(twice).tobytes()) for o, v, twice in _runs(_unsigned(table.column("fp")), bits)]
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("pid", "owner", "run", "twice"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     return send
 
@@ -98,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = materialize(norm.select(F.shiftright(F.monotonically_increasing_id(), 33).alias("pid"), "did", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "op10-prints")
     total = prints.count()
     bits = owners_for(total).bit_length() - 1
-    runs = prints.select("pid", "fp").mapInArrow(_sender(bits), "pid long, owner long, run binary, twice binary")
+    runs = prints.select("pid", "fp").groupBy("pid").applyInArrow(_sender(bits), "pid long, owner long, run binary, twice binary")
     bitmaps = runs.groupBy("owner").applyInArrow(_own, "pid long, owner long, bitmap binary")
     flagged = materialize(prints.groupBy("pid").cogroup(bitmaps.groupBy("pid")).applyInArrow(_receiver(bits), "did long, sha binary, dup boolean"), "op10-flags")
 

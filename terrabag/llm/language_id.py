@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, public_id
@@ -115,6 +115,22 @@ class LanguageModel:
         body = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
         return body.mapInArrow(self._predictor(), "did long, lang_pred string, score double")
 
+    def keep(self, docs: DataFrame, min_score: float, min_letters: int, text_col: str = "text") -> DataFrame:
+        """The rows of docs whose text has a language: one with letters and, from min_letters on, a score of min_score or more."""
+        names, predict, at = docs.columns, self._predictor(), docs.columns.index(text_col)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = letter_codes()
+            for b in batches:
+                text = [t or "" for t in b.column(at).to_pylist()]
+                one = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text, pa.string())], ["did", "text"])
+                (found,) = predict(iter([one]))
+                letters = np.array([np.count_nonzero(codes[np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)]) for t in text])
+                score, known = found.column("score").to_numpy(), np.array(found.column("lang_pred").to_pylist(), dtype=object) != UNKNOWN
+                yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array(known & ((letters < min_letters) | (score >= min_score))))
+
+        return docs.mapInArrow(choose, docs.schema)
+
     def _predictor(self):
         langs, prototypes, mean, seed = self.langs, self.prototypes.astype(np.float32), self.mean.astype(np.float32), self.seed
 
@@ -145,13 +161,11 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     Each partition sends one vector a language, which are summed in two steps; the driver gets one vector a language. Ties go to the
     language that comes first by name. Without labelled rows every prediction is UNKNOWN.
     """
-    spark: SparkSession = docs.sparkSession
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null")
     part = rows.mapInArrow(_summer(seed), "lang string, sum binary, n long")
     part = part.withColumn("salt", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(SPREAD)))
     once = part.groupBy("lang", "salt").applyInArrow(_merge, "lang string, sum binary, n long")
     sums = sorted((r.lang, np.frombuffer(bytes(r["sum"])), r.n) for r in once.groupBy("lang").applyInArrow(_merge, "lang string, sum binary, n long").collect())
-    del spark
     if not sums:
         return LanguageModel([], np.zeros((0, DIMENSIONS)), np.zeros(DIMENSIONS), seed)
     each = np.array([v / n for _, v, n in sums])
@@ -160,6 +174,13 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return LanguageModel([k for k, _, _ in sums], each / np.maximum(np.linalg.norm(each, axis=1, keepdims=True), 1e-12), mean, seed)
 
 
+def keep_known_languages(docs: DataFrame, min_score: float = 0.6, min_letters: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without rows that language ID rejects: null texts, texts without letters, and texts of min_letters letters or more whose best
+    score is under min_score. Short texts with letters stay, as their scores say little. All columns stay as they are."""
+    model = fit_languages(docs.filter(~held_out(docs[id_col])), text_col, lang_col)
+    return model.keep(docs, min_score, min_letters, text_col)
+
+
 def held_out(id_col) -> F.Column:
     """Whether crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
