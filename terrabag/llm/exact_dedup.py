@@ -31,7 +31,7 @@ def owners_for(rows: int) -> int:
     return n
 
 
-def _runs(fp: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs_by_owner(fp: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(owner, sorted distinct fingerprints, seen twice here) for a partition's fingerprints."""
     values, counts = np.unique(fp, return_counts=True)
     owner = (values >> np.uint64(64 - bits)).astype(np.int64)
@@ -49,13 +49,13 @@ def _sender(bits: int):
     def send(table: pa.Table) -> pa.Table:
         """All rows of one partition, so that its answer fits its run."""
         pid = table.column("pid")[0].as_py()
-        rows = [(pid, o, golomb.encode(v), np.packbits(twice).tobytes()) for o, v, twice in _runs(_unsigned(table.column("fp")), bits)]
+        rows = [(pid, o, golomb.encode(v), np.packbits(twice).tobytes()) for o, v, twice in runs_by_owner(_unsigned(table.column("fp")), bits)]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("pid", "owner", "run", "twice"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     return send
 
 
-def _own(table: pa.Table) -> pa.Table:
+def answer_runs(table: pa.Table) -> pa.Table:
     """One owner: merge the runs of all senders and give each sender a bitmap over its own run."""
     runs = [golomb.decode(x) for x in table.column("run").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(r)].astype(bool) for x, r in zip(table.column("twice").to_pylist(), runs, strict=True)]
@@ -72,7 +72,7 @@ def _receiver(bits: int):
         fp = _unsigned(rows.column("fp"))
         said = dict(zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True))
         values, flags = [], []
-        for owner, v, _ in _runs(fp, bits):
+        for owner, v, _ in runs_by_owner(fp, bits):
             values.append(v)
             flags.append(np.unpackbits(np.frombuffer(said[owner], np.uint8))[: len(v)].astype(bool))
         if not values:
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = prints.count()
     bits = owners_for(total).bit_length() - 1
     runs = prints.select("pid", "fp").groupBy("pid").applyInArrow(_sender(bits), "pid long, owner long, run binary, twice binary")
-    bitmaps = runs.groupBy("owner").applyInArrow(_own, "pid long, owner long, bitmap binary")
+    bitmaps = runs.groupBy("owner").applyInArrow(answer_runs, "pid long, owner long, bitmap binary")
     flagged = materialize(prints.groupBy("pid").cogroup(bitmaps.groupBy("pid")).applyInArrow(_receiver(bits), "did long, sha binary, dup boolean"), "op10-flags")
 
     hexed = F.lower(F.hex("sha"))
