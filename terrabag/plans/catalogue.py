@@ -30,10 +30,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    """All queries, those that fit models too."""
+    from . import model_queries  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query; models whose fit has no SQL form have none."""
+    queries()
     return dict(_SQL)
 
 
@@ -641,8 +646,3 @@ def case_condition_summary(spark, d):
         F.count(F.lit(1)).alias("folds"), F.countDistinct("fold").alias("distinct_folds"), F.percentile("auc", F.lit(0.5)).alias("median_auc"), F.stddev_samp("auc").alias("sd_auc"), F.min("auc").alias("min_auc"), F.max("auc").alias("max_auc"),
         F.avg(F.col("auc").isNotNull().cast("int")).alias("available"), F.count_if(F.col("auc") > 0.5).alias("above_chance"),
     )
-
-
-# ---- models
-
-
