@@ -7,6 +7,7 @@ the few pieces that rounding leaves give whole patterns, and pieces take their p
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, public_id, texts
+from .token_count import byte_letters
 
 #: Tokens of a sequence, and tokens of one length class.
 CAPACITY, STEP = 4096, 16
@@ -23,53 +25,58 @@ CAPACITY, STEP = 4096, 16
 END = 2
 #: Pieces ranked together.
 PER_CHUNK = 2_000
-#: Words whose ids a worker remembers.
-MEMORY = 400_000
-_MARK, _MARK_ID = "<|endoftext|>", 49407
+#: Pieces whose ids a worker remembers.
+MEMORY = 600_000
 
 
-class WordIds(dict):
-    """Ids of words as little-endian uint32 bytes. The tokenizer drops white space, so a text's ids are those of its words."""
+#: Texts of these characters alone, without "<|", need no normalisation but lower case, and fall apart by _PIECE as the tokenizer has it.
+_PLAIN = re.compile(r"[\x20-\x7e\n\r\t\xc0-\xff]*")
+# Fixed value: the tokenizer's pattern for lower-case text of those characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+class PieceIds(dict):
+    """Ids of a text's pieces as little-endian uint32 bytes, remembered up to a bound and asked of the model otherwise."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.joined = self.tokenizer.token_to_id(_MARK) == _MARK_ID
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are new; many at once, kept apart by a token that none of them holds."""
-        if len(self) > MEMORY:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMORY:
             self.clear()
-        new = [w for w in words if w not in self]
-        plain = [w for w in new if self.joined and "<|" not in w]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == _MARK_ID)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer doesn't keep words apart")
-            for w, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self[w] = ids[a:b].tobytes()
-        for w in new:
-            if w not in self:
-                self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-
-def document_ids(batch: list[str], known: WordIds) -> Iterator[bytes]:
+        tokens = self.model.tokenize("".join([self.letters[b] for b in piece.encode("utf-8")]))
+        ids = self[piece] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return ids
+
+
+_KNOWN: dict[str, PieceIds] = {}
+
+
+def known_pieces(path: str) -> PieceIds:
+    """The worker process's own memory for a tokenizer file."""
+    if path not in _KNOWN:
+        _KNOWN[path] = PieceIds(path)
+    return _KNOWN[path]
+
+
+def document_ids(batch: list[str], known: PieceIds) -> Iterator[bytes]:
     """Each text's ids, END included, as little-endian uint32 bytes."""
     end = int(END).to_bytes(4, "little")
-    split = [t.replace("\n", " ").split(" ") for t in batch]
-    known.learn(set().union(*split))
-    for words in split:
-        yield b"".join(map(known.__getitem__, words)) + end
+    for text in batch:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            yield b"".join(map(known.__getitem__, _PIECE.findall(text.lower()))) + end
+        else:
+            yield np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
 
 
 def _cutter(path: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
         for b in batches:
-            known = known if known is not None else WordIds(path)
+            known = known if known is not None else known_pieces(path)
             did, start, length, crc, total = [], [], [], [], []
             ids, body = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(ids), 256):
