@@ -30,7 +30,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _leaf_templates(lines: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leaf lines with tokens, leaf templates) of the given leaves: a template is an array with null for each variable field."""
-    own = lines.join(leaves.hint("merge"), "leaf", "left_semi")
+    own = lines.join(leaves, "leaf", "left_semi")
     own = materialize(own.groupBy("leaf", "t1", "t2").agg(F.count(F.lit(1)).alias("held"), F.first("line").alias("line")), "leaf-lines")
     tokens = own.select("leaf", "held", F.posexplode(F.split("line", " ")).alias("at", "token"))
     counts = tokens.groupBy("leaf", "at", "token").agg(F.sum("held").alias("held"))
@@ -55,6 +55,7 @@ def recurring_lines(body: DataFrame) -> DataFrame:
     once = found.select("did", "tk", "leaf", "t1", "t2").distinct()
     exact = materialize(once.groupBy("leaf", "t1", "t2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("first")), "templates")
     leaves = exact.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= MIN_DOCS) & (F.col("kinds") > 1)).select("leaf")
+    # Spark broadcasts the leaves while they are small by its own limit, and shuffles both sides beyond.
     leaves = materialize(leaves, "leaves")
     own, pattern = _leaf_templates(_lines(body), leaves)
     kinds = own.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"))
