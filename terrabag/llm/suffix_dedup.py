@@ -35,7 +35,7 @@ MARK = np.dtype([("key", "<u8"), ("piece", "<u8"), ("start", "<u4"), ("many", "<
 SPAN = np.dtype([("start", "<u4"), ("many", "<u2"), ("code", "<u1")])
 PIECE = np.dtype([("hash", "<u8"), ("check", "<u4"), ("row", "<u4"), ("twice", "<u1")])
 ANCHOR = np.dtype([("hash", "<u8"), ("check", "<u4"), ("row", "<u4"), ("twice", "<u1")])
-WINDOW = np.dtype([("hash", "<u8"), ("check", "<u4"), ("row", "<u4"), ("twice", "<u1")])
+WINDOW = np.dtype([("hash", "<u8"), ("check", "<u4"), ("row", "<u1"), ("twice", "<u1")])
 RECURS, RECURS_SENT, OPEN = 1, 2, 3
 
 _RNG = np.random.default_rng(20)
@@ -154,7 +154,7 @@ class Levels:
         while len(self.levels) > 1:
             last = self.levels.pop()
             self.levels[-1] = fold(np.concatenate([self.levels[-1], last]))
-        return self.levels[0] if self.levels else np.empty(0, PIECE)
+        return self.levels[0] if self.levels else np.empty(0, WINDOW)
 
 
 def find(table: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
