@@ -53,15 +53,17 @@ def ascii_lower(col: str | Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: int, keep_unmatched: bool = False) -> DataFrame:
+def join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: int, keep_unmatched: bool = False, shuffle: bool = False) -> DataFrame:
     """rows with the columns of stats, which has one row for each key and its number of rows in `weight`.
 
     Keys with more than HOT_SHARE of the `total` rows are at most 1 / HOT_SHARE, so they are broadcast whatever the size of the
-    data; all others meet in a shuffled join in which no key can fill a task. Unmatched rows go, or keep nulls on request.
+    data; all others meet in a join in which no key can fill a task. Unmatched rows go, or keep nulls on request. `shuffle`: the others
+    are shuffled even while the table is small enough for Spark to broadcast, so that costs grow evenly.
     """
     limit = max(1.0, total * HOT_SHARE)
     hot = stats.filter(F.col(weight) > limit)
     cold = stats.filter(F.col(weight) <= limit)
+    cold = cold.hint("merge") if shuffle else cold
     first = rows.join(F.broadcast(hot), key, "inner")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left" if keep_unmatched else "inner")
     return first.unionByName(rest.select(*first.columns))

@@ -69,12 +69,12 @@ def recurring_lines(body: DataFrame) -> DataFrame:
     named = materialize(named.select("t1", "t2", "leaf", "docs", "first", F.when(general, F.col("leaf")).otherwise(F.col("t1")).alias("f1"), F.when(general, F.lit(0)).otherwise(F.col("t2")).cast("long").alias("f2")), "named")
     # Documents of a general template: lines of one document that share it count once.
     wide = named.filter("f2 = 0").select("t1", "t2", "leaf", "f1", "docs")
-    many = join_hot(once.withColumn("t", F.struct("leaf", "t1", "t2")), wide.select(F.struct("leaf", "t1", "t2").alias("t"), "f1", "docs"), "t", "docs", total)
+    many = join_hot(once.withColumn("t", F.struct("leaf", "t1", "t2")), wide.select(F.struct("leaf", "t1", "t2").alias("t"), "f1", "docs"), "t", "docs", total, shuffle=True)
     spread = many.select("did", "tk", "f1").distinct().groupBy("f1").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("keep")).filter(F.col("n") >= MIN_DOCS)
     general_drop = wide.join(spread, "f1").select("leaf", "t1", "t2", "docs", "keep")
     exact_drop = named.filter((F.col("f2") != 0) & (F.col("docs") >= MIN_DOCS)).select("leaf", "t1", "t2", "docs", F.col("first").alias("keep"))
     drop = materialize(general_drop.unionByName(exact_drop).select(F.struct("leaf", "t1", "t2").alias("t"), "docs", "keep"), "drops")
-    hit = join_hot(found.withColumn("t", F.struct("leaf", "t1", "t2")), drop, "t", "docs", total).filter("did != keep")
+    hit = join_hot(found.withColumn("t", F.struct("leaf", "t1", "t2")), drop, "t", "docs", total, shuffle=True).filter("did != keep")
     return hit.groupBy("did", "tk").agg(F.collect_set("pos").alias("drop"))
 
 
