@@ -15,15 +15,18 @@ from .common import join_hot, materialize, texts
 
 #: Leading tokens in a leaf's path; share of a leaf's lines that make a position constant; share of positions in which a line must agree.
 DEPTH, CONSTANT, AGREE = 3, 0.7, 0.8
-#: Documents from which on a template recurs; tokens that a line must have to be dropped.
-MIN_DOCS, MIN_TOKENS = 10, 2
+#: Documents from which on a short template recurs; bytes from which on a masked line is long and recurs in LONG_DOCS documents.
+MIN_DOCS, LONG_BYTES, LONG_DOCS = 10, 40, 2
+#: Tokens that a line must have to be dropped.
+MIN_TOKENS = 2
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(did, tk, pos, line, n, leaf, t1, t2) of every line that has MIN_TOKENS tokens; t1 and t2 are hashes of the masked line."""
+    """(did, tk, pos, line, n, floor, leaf, t1, t2) of every line that has MIN_TOKENS tokens; t1 and t2 are hashes of the masked line."""
     rows = docs.select("did", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.regexp_replace(F.trim("line"), "[0-9]+", "<*>"))
     rows = rows.withColumn("n", F.size(F.split("line", " "))).filter(F.col("n") >= MIN_TOKENS)
+    rows = rows.withColumn("floor", F.when(F.octet_length("line") >= LONG_BYTES, LONG_DOCS).otherwise(MIN_DOCS))
     lead = F.substring_index("line", " ", DEPTH)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))
 
@@ -50,10 +53,10 @@ def _agrees(line: str, pattern: str) -> Column:
 
 def recurring_lines(body: DataFrame) -> DataFrame:
     """(did, tk, drop): the positions of lines to drop in each document of body, which has did and text."""
-    found = materialize(_lines(body).select("did", "tk", "pos", "leaf", "t1", "t2"), "lines")
+    found = materialize(_lines(body).select("did", "tk", "pos", "floor", "leaf", "t1", "t2"), "lines")
     total = max(1, found.count())
-    once = found.select("did", "tk", "leaf", "t1", "t2").distinct()
-    exact = materialize(once.groupBy("leaf", "t1", "t2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("first")), "templates")
+    once = found.select("did", "tk", "floor", "leaf", "t1", "t2").distinct()
+    exact = materialize(once.groupBy("leaf", "t1", "t2", "floor").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("first")), "templates")
     leaves = exact.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= MIN_DOCS) & (F.col("kinds") > 1)).select("leaf")
     # Spark broadcasts the leaves while they are small by its own limit, and shuffles both sides beyond.
     leaves = materialize(leaves, "leaves")
@@ -66,13 +69,15 @@ def recurring_lines(body: DataFrame) -> DataFrame:
     merged = materialize(merged.withColumn("general", F.lit(True)), "merged")
     named = exact.join(merged, ["leaf", "t1", "t2"], "left")
     general = F.coalesce("general", F.lit(False))
-    named = materialize(named.select("t1", "t2", "leaf", "docs", "first", F.when(general, F.col("leaf")).otherwise(F.col("t1")).alias("f1"), F.when(general, F.lit(0)).otherwise(F.col("t2")).cast("long").alias("f2")), "named")
+    named = materialize(named.select("t1", "t2", "leaf", "floor", "docs", "first", F.when(general, F.col("leaf")).otherwise(F.col("t1")).alias("f1"), F.when(general, F.lit(0)).otherwise(F.col("t2")).cast("long").alias("f2")), "named")
     # Documents of a general template: lines of one document that share it count once.
     wide = named.filter("f2 = 0").select("t1", "t2", "leaf", "f1", "docs")
     many = join_hot(once.withColumn("t", F.struct("leaf", "t1", "t2")), wide.select(F.struct("leaf", "t1", "t2").alias("t"), "f1", "docs"), "t", "docs", total, shuffle=True)
     spread = many.select("did", "tk", "f1").distinct().groupBy("f1").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("keep")).filter(F.col("n") >= MIN_DOCS)
     general_drop = wide.join(spread, "f1").select("leaf", "t1", "t2", "docs", "keep")
-    exact_drop = named.filter((F.col("f2") != 0) & (F.col("docs") >= MIN_DOCS)).select("leaf", "t1", "t2", "docs", F.col("first").alias("keep"))
+    # A line whose general template recurs too seldom may still recur verbatim.
+    alone = named.filter(F.col("docs") >= F.col("floor")).join(general_drop.select("leaf", "t1", "t2"), ["leaf", "t1", "t2"], "left_anti")
+    exact_drop = alone.select("leaf", "t1", "t2", "docs", F.col("first").alias("keep"))
     drop = materialize(general_drop.unionByName(exact_drop).select(F.struct("leaf", "t1", "t2").alias("t"), "docs", "keep"), "drops")
     hit = join_hot(found.withColumn("t", F.struct("leaf", "t1", "t2")), drop, "t", "docs", total, shuffle=True).filter("did != keep")
     return hit.groupBy("did", "tk").agg(F.collect_set("pos").alias("drop"))

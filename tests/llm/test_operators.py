@@ -318,6 +318,25 @@ def test_line_dedup_exact_templates_against_brute_force(docs, rows):
                 assert x not in got[i]
 
 
+def test_line_dedup_long_lines_of_few_documents(spark):
+    """A long line that two documents share stays in the first of them only; short ones need MIN_DOCS documents."""
+    long, short = "a planted passage of many words that was copied into two documents only", "all rights reserved"
+    out = [(i, f"{short}\nown words of document {chr(97 + i)}\n{long}", "en", "s", 5, 1, None) for i in (3, 7)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(out, COLUMNS)).collect()}
+    assert got == {3: out[0][1], 7: f"{short}\nown words of document h"}
+
+
+def test_line_dedup_long_lines_against_brute_force(docs, rows):
+    mask = lambda x: re.sub("[0-9]+", "<*>", x.strip(" "))
+    seen = collections.defaultdict(set)
+    for i, r in rows.items():
+        for x in r.text.split("\n"):
+            seen[mask(x)].add(i)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs).collect()}
+    hits = [(i, x) for i, r in rows.items() for x in r.text.split("\n") if len(mask(x).encode()) >= line_dedup.LONG_BYTES and i != min(seen[mask(x)])]
+    assert hits and all(x not in got[i] for i, x in hits)
+
+
 def test_mixing(docs, rows, edge):
     total = collections.Counter()
     for r in rows.values():
