@@ -17,15 +17,15 @@ from .common import join_hot, materialize, texts
 DEPTH, CONSTANT, AGREE = 3, 0.7, 0.8
 #: Documents from which on a short template recurs; bytes from which on a masked line is long and recurs in LONG_DOCS documents.
 MIN_DOCS, LONG_BYTES, LONG_DOCS = 10, 40, 2
-#: Tokens that a line must have to be dropped.
-MIN_TOKENS = 2
+#: Tokens that a line must have to be dropped: every line that isn't blank counts.
+MIN_TOKENS = 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(did, tk, pos, line, n, floor, leaf, t1, t2) of every line that has MIN_TOKENS tokens; t1 and t2 are hashes of the masked line."""
+    """(did, tk, pos, line, n, floor, leaf, t1, t2) of every line that isn't blank; t1 and t2 are hashes of the masked line."""
     rows = docs.select("did", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.regexp_replace(F.trim("line"), "[0-9]+", "<*>"))
-    rows = rows.withColumn("n", F.size(F.split("line", " "))).filter(F.col("n") >= MIN_TOKENS)
+    rows = rows.filter("line != ''").withColumn("n", F.size(F.split("line", " "))).filter(F.col("n") >= MIN_TOKENS)
     rows = rows.withColumn("floor", F.when(F.octet_length("line") >= LONG_BYTES, LONG_DOCS).otherwise(MIN_DOCS))
     lead = F.substring_index("line", " ", DEPTH)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))
@@ -86,7 +86,7 @@ def recurring_lines(body: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """docs with recurring lines dropped from the text, and count_col, if docs has it, set to the new number of code points.
 
-    All rows stay, in the columns of docs; a text that loses every line becomes empty. Lines of fewer than MIN_TOKENS tokens stay. A null
+    All rows stay, in the columns of docs; a text that loses every line becomes empty. Blank lines stay. A null
     text stays null and counts as empty; a null doc_id counts as the least id. Rows that repeat a doc_id are documents of their own if
     their texts differ, and count once if not. An empty table gives an empty result. Columns with clashing names are kept as they are.
     """

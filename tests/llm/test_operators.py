@@ -326,6 +326,15 @@ def test_line_dedup_long_lines_of_few_documents(spark):
     assert got == {3: out[0][1], 7: f"{short}\nown words of document h"}
 
 
+def test_line_dedup_lines_of_one_token(spark):
+    """Lines without spaces recur like others, by length; blank ones stay."""
+    passage, out = "この段落は空白のない一行であり二つの文書に現れる", []
+    for i in range(12):
+        out.append((i, f"Les.\n\nown{chr(97 + i)}" + (f"\n{passage}" if i in (4, 9) else ""), "en", "s", 5, 1, None))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(out, COLUMNS)).collect()}
+    assert got == {i: (t if i == 0 else t.replace("Les.\n", "")).replace(f"\n{passage}", "" if i == 9 else f"\n{passage}") for i, t, *_ in out}
+
+
 def test_line_dedup_long_lines_against_brute_force(docs, rows):
     mask = lambda x: re.sub("[0-9]+", "<*>", x.strip(" "))
     seen = collections.defaultdict(set)
