@@ -1,20 +1,20 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's digits are masked; its leaf in the tree is its number of tokens and its leading tokens. Where lines of a leaf recur across
-documents, the leaf gets a template: per position the token that most of its lines have, or a variable field where none does. Lines
-that agree with their leaf's template carry it, other lines are their own template. Templates that recur across documents are dropped
-everywhere but in the first document that has them.
+A line's digits are masked; its leaf in the tree is its number of tokens and its leading tokens. Where a leaf has several lines, each
+token counts the documents that have it at its position; a line's tokens down to any count are a template that the line may carry, the
+others its variable fields. A line carries that of its templates that explains most, or itself. Templates that recur across documents
+are dropped everywhere but in the first document that has them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, materialize, texts
 
-#: Leading tokens in a leaf's path; share of a leaf's lines that make a position constant; share of positions in which a line must agree.
-DEPTH, CONSTANT, AGREE = 3, 0.7, 0.8
+#: Leading tokens in a leaf's path; share of a general template's tokens that are constant at least.
+DEPTH, CONSTANT = 3, 0.5
 #: Documents from which on a short template recurs; bytes from which on a masked line is long and recurs in LONG_DOCS documents.
 MIN_DOCS, LONG_BYTES, LONG_DOCS = 10, 40, 2
 #: Tokens that a line must have to be dropped: every line that isn't blank counts.
@@ -31,54 +31,57 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))
 
 
-def _leaf_templates(lines: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leaf lines with tokens, leaf templates) of the given leaves: a template is an array with null for each variable field."""
-    own = lines.join(leaves, "leaf", "left_semi")
-    own = materialize(own.groupBy("leaf", "t1", "t2").agg(F.count(F.lit(1)).alias("held"), F.first("line").alias("line")), "leaf-lines")
-    tokens = own.select("leaf", "held", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    counts = tokens.groupBy("leaf", "at", "token").agg(F.sum("held").alias("held"))
-    top = counts.groupBy("leaf", "at").agg(F.sum("held").alias("all"), F.max(F.struct("held", "token")).alias("top"))
-    token = F.when(F.col("top.held") >= CONSTANT * F.col("all"), F.col("top.token"))
-    # A leaf's positions are the tokens of one line, so the list is as long as a line.
-    pattern = top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", token.alias("token")))), lambda x: x["token"]).alias("pattern"))
-    return own, pattern
+def _cuts(lines: DataFrame, exact: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(t, docs, first, sig, size, limit): the general templates that each line t of the given leaves may carry.
 
-
-def _agrees(line: str, pattern: str) -> Column:
-    words = F.split(line, " ")
-    hits = F.size(F.filter(F.zip_with(words, pattern, lambda w, p: p.isNull() | (w == p)), lambda x: x))
-    fixed = F.size(F.filter(pattern, lambda p: p.isNotNull()))
-    return (hits >= AGREE * F.size(words)) & (fixed >= AGREE * F.size(words))
+    A token at a position is as frequent as the documents of the leaf's lines that have it there. A line's tokens down to any frequency
+    are a template of `size` constant tokens, hashed as sig; the others are variable fields. So a leaf has as many templates as its lines
+    show: tokens of a template are as frequent as it is, and what fills its fields is less so.
+    """
+    t = ["leaf", "t1", "t2"]
+    own = lines.join(leaves, "leaf", "left_semi").groupBy(*t).agg(F.first("n").alias("n"), F.first("line").alias("line"))
+    own = materialize(own.join(exact.select(*t, "docs", "first"), t), "leaf-lines")
+    tokens = own.select(*t, "n", "docs", "first", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    tokens = tokens.select(*t, "n", "docs", "first", "at", F.xxhash64("leaf", "at", "token").alias("w"), F.octet_length("token").alias("bytes"))
+    counts = materialize(tokens.groupBy("w").agg(F.sum("docs").alias("freq"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "token-counts")
+    met = join_hot(tokens, counts, "w", "kinds", own.agg(F.sum("n")).first()[0] or 1)
+    # A line's list is as long as the line.
+    met = met.groupBy(*t, "n", "docs", "first").agg(F.array_sort(F.collect_list(F.struct("at", "w", "freq", "bytes"))).alias("shared")).filter(F.size("shared") >= CONSTANT * F.col("n"))
+    kept = F.transform(F.array_distinct(F.transform("shared", lambda x: x["freq"])), lambda f: F.filter("shared", lambda x: x["freq"] >= f))
+    cut = F.transform(kept, lambda k: F.struct(F.xxhash64(F.transform(k, lambda x: x["w"])).alias("sig"), F.size(k).alias("size"), F.aggregate(k, F.lit(0), lambda n, x: n + x["bytes"] + 1).alias("bytes")))
+    cuts = met.select(F.struct(*t).alias("t"), "n", "docs", "first", F.explode(cut).alias("cut")).select("t", "n", "docs", "first", "cut.*")
+    # Leading tokens are the same in all of a leaf, so they make a template only where all but one token are leading.
+    cuts = cuts.filter((F.col("size") >= CONSTANT * F.col("n")) & (F.col("size") < F.col("n")) & ((F.col("size") > DEPTH) | (F.col("size") == F.col("n") - 1)))
+    limit = F.when(F.col("bytes") > LONG_BYTES, LONG_DOCS).otherwise(MIN_DOCS)
+    return cuts.select("t", "docs", "first", "sig", "size", limit.alias("limit"))
 
 
 def recurring_lines(body: DataFrame) -> DataFrame:
     """(did, tk, drop): the positions of lines to drop in each document of body, which has did and text."""
-    found = materialize(_lines(body).select("did", "tk", "pos", "floor", "leaf", "t1", "t2"), "lines")
+    found = materialize(_lines(body).select("did", "tk", "pos", "n", "floor", "leaf", "t1", "t2"), "lines")
     total = max(1, found.count())
-    once = found.select("did", "tk", "floor", "leaf", "t1", "t2").distinct()
-    exact = materialize(once.groupBy("leaf", "t1", "t2", "floor").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("first")), "templates")
-    leaves = exact.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= MIN_DOCS) & (F.col("kinds") > 1)).select("leaf")
+    once = found.select("did", "tk", "n", "floor", "leaf", "t1", "t2").distinct()
+    exact = materialize(once.groupBy("leaf", "t1", "t2", "n", "floor").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("first")), "templates")
+    leaves = exact.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("leaf")
     # Spark broadcasts the leaves while they are small by its own limit, and shuffles both sides beyond.
-    leaves = materialize(leaves, "leaves")
-    own, pattern = _leaf_templates(_lines(body), leaves)
-    kinds = own.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"))
-    pattern = materialize(pattern.join(kinds, "leaf"), "patterns")
-    met = join_hot(own, pattern, "leaf", "kinds", max(1, own.count()))
-    merged = met.filter(_agrees("line", "pattern")).select("leaf", "t1", "t2")
-    # A line's final template: its leaf's (t1 = leaf, t2 = 0) or its own.
-    merged = materialize(merged.withColumn("general", F.lit(True)), "merged")
-    named = exact.join(merged, ["leaf", "t1", "t2"], "left")
-    general = F.coalesce("general", F.lit(False))
-    named = materialize(named.select("t1", "t2", "leaf", "floor", "docs", "first", F.when(general, F.col("leaf")).otherwise(F.col("t1")).alias("f1"), F.when(general, F.lit(0)).otherwise(F.col("t2")).cast("long").alias("f2")), "named")
+    cuts = materialize(_cuts(_lines(body), exact, materialize(leaves, "leaves")), "cuts")
+    likely = cuts.groupBy("sig").agg(F.sum("docs").alias("most"), F.first("limit").alias("limit"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1 and most >= limit")
+    cuts = materialize(join_hot(cuts.drop("limit"), materialize(likely.select("sig", "limit", "kinds"), "likely"), "sig", "kinds", max(1, cuts.count())), "cuts")
     # Documents of a general template: lines of one document that share it count once.
-    wide = named.filter("f2 = 0").select("t1", "t2", "leaf", "f1", "docs")
-    many = join_hot(once.withColumn("t", F.struct("leaf", "t1", "t2")), wide.select(F.struct("leaf", "t1", "t2").alias("t"), "f1", "docs"), "t", "docs", total, shuffle=True)
-    spread = many.select("did", "tk", "f1").distinct().groupBy("f1").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("keep")).filter(F.col("n") >= MIN_DOCS)
-    general_drop = wide.join(spread, "f1").select("leaf", "t1", "t2", "docs", "keep")
-    # A line whose general template recurs too seldom may still recur verbatim.
-    alone = named.filter(F.col("docs") >= F.col("floor")).join(general_drop.select("leaf", "t1", "t2"), ["leaf", "t1", "t2"], "left_anti")
-    exact_drop = alone.select("leaf", "t1", "t2", "docs", F.col("first").alias("keep"))
-    drop = materialize(general_drop.unionByName(exact_drop).select(F.struct("leaf", "t1", "t2").alias("t"), "docs", "keep"), "drops")
+    wide = materialize(cuts.groupBy("t", "docs").agg(F.collect_list(F.struct("sig", "limit", "kinds")).alias("cuts")), "wide")
+    many = join_hot(once.select("did", "tk", F.struct("leaf", "t1", "t2").alias("t")), wide, "t", "docs", total, shuffle=True)
+    many = many.select("did", "tk", F.explode("cuts").alias("cut")).select("did", "tk", "cut.*").distinct()
+    spread = materialize(many.groupBy("sig", "limit", "kinds").agg(F.count(F.lit(1)).alias("n")).filter("n >= limit").select("sig", "kinds", "n"), "spread")
+    # A line carries the template that explains most: its documents times its constant tokens. The line itself is one of them.
+    fits = join_hot(cuts.drop("limit", "kinds"), spread, "sig", "kinds", max(1, cuts.count()))
+    score = F.struct((F.col("n") * F.col("size")).alias("score"), "size", "sig")
+    best = fits.groupBy("t", "docs", "first").agg(F.max(score).alias("best"))
+    lines = exact.select(F.struct("leaf", "t1", "t2").alias("t"), "docs", "first", F.when(F.col("docs") >= F.col("floor"), F.col("docs") * F.col("n")).otherwise(0).alias("own")).filter("own > 0")
+    general = materialize(best.join(lines.select("t", "own"), "t", "left").filter(F.col("own").isNull() | (F.col("best.score") > F.col("own"))).select("t", "docs", "first", F.col("best.sig").alias("sig")), "general")
+    keep = materialize(general.groupBy("sig").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("kinds")), "keep")
+    general_drop = join_hot(general, keep, "sig", "kinds", max(1, general.count())).select("t", "docs", "keep")
+    exact_drop = lines.join(general.select("t"), "t", "left_anti").select("t", "docs", F.col("first").alias("keep"))
+    drop = materialize(general_drop.unionByName(exact_drop), "drops")
     hit = join_hot(found.withColumn("t", F.struct("leaf", "t1", "t2")), drop, "t", "docs", total, shuffle=True).filter("did != keep")
     return hit.groupBy("did", "tk").agg(F.collect_set("pos").alias("drop"))
 

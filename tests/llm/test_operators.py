@@ -335,6 +335,19 @@ def test_line_dedup_lines_of_one_token(spark):
     assert got == {i: (t if i == 0 else t.replace("Les.\n", "")).replace(f"\n{passage}", "" if i == 9 else f"\n{passage}") for i, t, *_ in out}
 
 
+def test_line_dedup_several_templates_of_a_leaf(spark):
+    """Two templates and a frequent verbatim line of the same length and start, and templates with one field of 4 tokens and 3 of 10."""
+    out, of = [], lambda *w: " ".join(w)
+    for i in range(36):
+        a, b, c = (f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}" for x in "xyz")
+        two = [of("sent on day", a, "by an old man"), of("sent on day", a, "to the new isle"), "sent on day one with no mail"][i % 3]
+        more = [of("see also under", b), of("go to the", a, "or", b, "if", c, "is shut"), f"plain {b}"][i // 3 % 3]
+        out.append((i, f"{two}\n{more}", "en", "s", 5, 1, None))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(out, COLUMNS)).collect()}
+    first = {i: [i < 3, i // 3 % 3 == 2 or i in (0, 3)] for i in range(36)}
+    assert got == {i: "\n".join(x for x, stay in zip(t.split("\n"), first[i], strict=True) if stay) for i, t, *_ in out}
+
+
 def test_line_dedup_long_lines_against_brute_force(docs, rows):
     mask = lambda x: re.sub("[0-9]+", "<*>", x.strip(" "))
     seen = collections.defaultdict(set)
