@@ -81,21 +81,57 @@ def cover(grid: DataFrame, polygons: DataFrame) -> DataFrame:
     return met.filter(in_ring("x", "y", "ring")).select("site_id", "row", "col", "bands")
 
 
-def grow_points(points: DataFrame, grid: DataFrame, n: int, max_radius: int) -> DataFrame:
-    """point_id, radius and cells: the least square ring around each point (point_id, row, col) that holds n valid cells, from radius 1 on."""
-    rings = focal_rings(points, grid, max_radius)
-    by = rings.groupBy("point_id", "ring").agg(F.count(F.lit(1)).alias("k"))
-    run = by.withColumn("cells", F.sum("k").over(Window.partitionBy("point_id").orderBy("ring")))
-    return run.filter(F.col("cells") >= n).groupBy("point_id").agg(F.greatest(F.lit(1), F.min("ring")).alias("radius")).join(by, "point_id").filter("ring <= radius").groupBy("point_id", "radius").agg(F.sum("k").alias("cells"))
+def _met(cells: DataFrame, centres: DataFrame, bucket: float, rings: int) -> DataFrame:
+    """cells with centre_id, cx and cy of every centre in whose square bucket, or `rings` buckets around it, they lie."""
+    key = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
+    span = range(-rings, rings + 1)
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span])).alias("o")
+    c = centres.select("centre_id", F.col("x").alias("cx"), F.col("y").alias("cy"), key("x").alias("bx"), key("y").alias("by"), at)
+    c = c.select("centre_id", "cx", "cy", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
+    return cells.select("*", key("x").alias("bx"), key("y").alias("by")).join(c, ["bx", "by"])
+
+
+def _widen(cells: DataFrame, centres: DataFrame, bucket: float, rings: int, near) -> DataFrame:
+    """near(met, reach, last) of all centres: rows that it marks as open are sought again in buckets of twice the width, until none is
+    open or `last` tells that the buckets hold all cells. It gets all cells within `reach` of a centre, and some beyond."""
+    place = lambda df: df.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    both = place(cells).unionByName(place(centres)).filter(finite(F.col("x")) & finite(F.col("y")))
+    x, y = both.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    out, span = None, max(x or 0, y or 0)
+    while True:
+        last = bucket * rings > span
+        got = near(_met(cells, centres, bucket, rings), bucket * rings, last).localCheckpoint()  # else plans grow with every round
+        done = (got if last else got.filter("not open")).drop("open")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        gone = done.select(F.col("centre_id").alias("__gone")).distinct()
+        centres = centres.join(gone, F.col("centre_id").eqNullSafe(F.col("__gone")), "left_anti").localCheckpoint()
+        if centres.isEmpty():
+            return out
+        bucket *= 2
+
+
+def grow_points(points: DataFrame, grid: DataFrame, n: int, first_radius: int) -> DataFrame:
+    """point_id, radius and cells: the least square ring around each point (point_id, row, col) that holds n valid cells, from radius 1 on.
+
+    The search starts with rings up to first_radius and widens. If the whole grid has fewer than n valid cells, the ring reaches the grid's
+    edges; points go only if it has none.
+    """
+    row0, row1, col0, col1 = grid.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
 
+    def near(met: DataFrame, reach: float, last: bool) -> DataFrame:
+        ring = F.greatest(F.lit(1), F.abs(F.col("x") - F.col("cx")), F.abs(F.col("y") - F.col("cy"))).cast("int")
+        by = met.withColumn("ring", ring).filter(F.col("ring") <= reach).groupBy("centre_id", "cx", "cy", "ring").agg(F.count(F.lit(1)).alias("k"))
+        run = by.withColumn("cells", F.sum("k").over(Window.partitionBy("centre_id").orderBy("ring")))
+        enough = F.col("cells") >= n
+        got = run.groupBy("centre_id", "cx", "cy").agg(F.min(F.when(enough, F.col("ring"))).alias("radius"), F.min(F.when(enough, F.col("cells"))).alias("cells"), F.max("cells").alias("all"))
+        edge = F.greatest(F.lit(1), F.col("cx") - F.lit(col0), F.lit(col1) - F.col("cx"), F.col("cy") - F.lit(row0), F.lit(row1) - F.col("cy")).cast("int")
+        return got.select("centre_id", F.coalesce("radius", edge).alias("radius"), F.coalesce("cells", "all").alias("cells"), F.col("radius").isNull().alias("open"))
 
-def focal_rings(points: DataFrame, grid: DataFrame, max_radius: int) -> DataFrame:
-    """Valid cells around points with their Chebyshev distance."""
-    span = range(-max_radius, max_radius + 1)
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span])).alias("o")
-    p = points.select("point_id", "row", "col", at)
-    p = p.select("point_id", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.greatest(F.abs("o.i"), F.abs("o.j")).alias("ring"))
-    return p.join(grid.filter("valid").select("row", "col", "bands"), ["row", "col"])
+    centres = points.select(F.col("point_id").alias("centre_id"), F.col("col").alias("x"), F.col("row").alias("y"))
+    grown = _widen(grid.filter("valid").select(F.col("col").alias("x"), F.col("row").alias("y")), centres, first_radius, 1, near)
+    return grown.select(F.col("centre_id").alias("point_id"), "radius", "cells")
 
 
 def anchors(grid: DataFrame, n: int, seed: int) -> DataFrame:
@@ -104,19 +140,20 @@ def anchors(grid: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def nearest_cells(cells: DataFrame, centres: DataFrame, k: int, bucket: float, rings: int = 1) -> DataFrame:
-    """(centre_id, cell_id, d2, rank): the k nearest cells of each centre among those in its bucket and `rings` around it.
+    """(centre_id, cell_id, d2, rank): the k nearest cells of each centre, ties by cell_id; fewer only if there are fewer cells.
 
-    Both sides meet in an equi-join on square buckets of width `bucket`; exact when the k-th distance is at most rings * bucket.
+    Both sides meet in an equi-join on square buckets of width `bucket`, `rings` around a centre's own; centres whose k-th distance these
+    don't cover meet cells again in buckets of twice the width.
     """
-    key = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
-    span = range(-rings, rings + 1)
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span])).alias("o")
-    c = centres.select("centre_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (key("x")).alias("bx"), key("y").alias("by"), at)
-    c = c.select("centre_id", "cx", "cy", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
-    met = cells.select("cell_id", "x", "y", key("x").alias("bx"), key("y").alias("by")).join(c, ["bx", "by"])
-    d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    rank = F.row_number().over(Window.partitionBy("centre_id").orderBy("d2", "cell_id"))
-    return met.select("centre_id", "cell_id", d2.alias("d2")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def near(met: DataFrame, reach: float, last: bool) -> DataFrame:
+        d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+        rank = F.row_number().over(Window.partitionBy("centre_id").orderBy("d2", "cell_id"))
+        got = met.select("centre_id", "cell_id", d2.alias("d2")).withColumn("rank", rank).filter(F.col("rank") <= k)
+        of = Window.partitionBy("centre_id")
+        return got.withColumn("open", (F.count(F.lit(1)).over(of) < k) | (F.max("d2").over(of) >= F.lit(float(reach) ** 2)))
+
+    return _widen(cells.select("cell_id", "x", "y"), centres.select("centre_id", "x", "y"), bucket, rings, near)
 
 
 def align(cells: DataFrame, grid: DataFrame, min_cells: int, cap: int, seed: int) -> DataFrame:
@@ -130,19 +167,16 @@ def align(cells: DataFrame, grid: DataFrame, min_cells: int, cap: int, seed: int
 
 
 def background_bags(grid: DataFrame, occupied: DataFrame, n: int, size: int, seed: int, radius: int) -> DataFrame:
-    """n background bags of `size` cells: random free anchors with their nearest free cells within `radius`, in the order of the anchors.
+    """n background bags of `size` cells: random free anchors with their nearest free cells, in the order of the anchors.
 
-    Anchors without enough free cells are passed over; bags may overlap each other, never the occupied cells (row, col).
+    The search starts within `radius` and widens, so an anchor is passed over only if the grid has fewer free cells than `size`; bags may
+    overlap each other, never the occupied cells (row, col).
     """
     free = grid.filter("valid").join(occupied.select("row", "col").distinct(), ["row", "col"], "left_anti")
     a = anchors(free.withColumn("valid", F.lit(True)), 25 * n, seed)
-    points = a.select(F.col("priority").alias("point_id"), "row", "col")
-    near = focal_rings(points, free.withColumn("valid", F.lit(True)), radius)
-    origin = points.select("point_id", F.col("row").alias("r0"), F.col("col").alias("c0"))
-    near = near.join(F.broadcast(origin), "point_id")  # 25 n anchors at most
-    d2 = (F.col("row") - F.col("r0")) * (F.col("row") - F.col("r0")) + (F.col("col") - F.col("c0")) * (F.col("col") - F.col("c0"))
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "row", "col"))
-    near = near.withColumn("d2", d2).withColumn("rank", rank).filter(F.col("rank") <= size)
+    points = a.select(F.col("priority").alias("centre_id"), F.col("col").alias("x"), F.col("row").alias("y"))
+    cells = free.select(F.struct("row", "col").alias("cell_id"), F.col("col").alias("x"), F.col("row").alias("y"))
+    near = nearest_cells(cells, points, size, radius + 1).select(F.col("centre_id").alias("point_id"), "cell_id.row", "cell_id.col")
     full = near.groupBy("point_id").count().filter(F.col("count") == size).orderBy("point_id").limit(n)
     full = full.select("point_id", F.format_string("background-%05d", F.row_number().over(Window.orderBy("point_id")) - 1).alias("bag_id"))
-    return near.join(F.broadcast(full), "point_id").select("bag_id", "row", "col", F.col("bands").alias("features"))
+    return near.join(F.broadcast(full), "point_id").join(free.select("row", "col", "bands"), ["row", "col"]).select("bag_id", "row", "col", F.col("bands").alias("features"))

@@ -173,3 +173,31 @@ def test_background_is_free_of_sites(spark):
     b = grid.background_bags(g, taken, 3, 5, 7, 3)
     assert b.join(taken, ["row", "col"]).isEmpty()
     assert sorted(r["count"] for r in b.groupBy("bag_id").count().collect()) == [5, 5, 5]
+
+
+def test_nearest_cells_of_skewed_centres(spark):
+    """Clusters, far centres, and k-th cells that lie outside the first buckets although these hold k."""
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(0, 2, (40, 2)), rng.normal(500, 1, (3, 2)), [[0.9, 5.0], [9.0, 5.0], [9.5, 9.5]]])
+    at = np.array([[0.0, 0.0], [499.0, 500.0], [-3000.0, 40.0], [250.0, 250.0], [9.9, 0.1]])
+    frame = lambda v, name: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(v)], f"{name} long, x double, y double")
+    got = {(r.centre_id, r["rank"]): r.cell_id for r in grid.nearest_cells(frame(xy, "cell_id"), frame(at, "centre_id"), 5, 4.0).collect()}
+    d2 = ((at[:, None] - xy[None]) ** 2).sum(axis=2)
+    assert got == {(i, k + 1): j for i in range(len(at)) for k, j in enumerate(np.argsort(d2[i], kind="stable")[:5])}
+    assert grid.nearest_cells(frame(xy[:2], "cell_id"), frame(at, "centre_id"), 5, 4.0).count() == 10
+
+
+def test_points_and_background_beside_nodata(spark):
+    ok = lambda r, c: c >= 30 or (r, c) == (1, 1)
+    g = spark.createDataFrame([(r, c, [1.0], ok(r, c)) for r in range(12) for c in range(40)], "row int, col int, bands array<double>, valid boolean")
+    p = spark.createDataFrame([(1, 1, 1), (2, 6, 35)], "point_id long, row int, col int")
+    want = {}
+    for i, r0, c0 in ((1, 1, 1), (2, 6, 35)):
+        count = lambda k: sum(ok(r, c) for r in range(12) for c in range(40) if max(abs(r - r0), abs(c - c0)) <= k)  # noqa: B023, E731
+        k = next(k for k in range(1, 50) if count(k) >= 12)
+        want[i] = (k, count(k))
+    assert {r.point_id: (r.radius, r.cells) for r in grid.grow_points(p, g, 12, 4).collect()} == want
+    assert {r.point_id: (r.radius, r.cells) for r in grid.grow_points(p, g, 500, 4).collect()} == {1: (38, 121), 2: (35, 121)}
+    taken = g.filter("valid and not (row = 1 and col = 1) and (row + col) % 11 > 0").select("row", "col")
+    b = grid.background_bags(g, taken, 4, 8, 7, 1).groupBy("bag_id").count().collect()
+    assert sorted(r["count"] for r in b) == [8, 8, 8, 8]
