@@ -24,9 +24,9 @@ PER_COPY = 256
 
 
 def owners_for(rows: int) -> int:
-    """A power of two, 64 at least and 8192 at most."""
+    """A power of two, 64 at least; it grows with the rows, so an owner's share doesn't."""
     n = 64
-    while n < 8192 and n * PER_OWNER < rows:
+    while n * PER_OWNER < rows:
         n *= 2
     return n
 

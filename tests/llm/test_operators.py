@@ -101,6 +101,22 @@ def test_near_dedup_of_spread_copies(spark):
     assert got == near_brute(out, 85)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows that repeat an id with different texts are searched each for itself."""
+    a, b = [" ".join(f"{k}{i}" for i in range(60)) for k in "ab"]
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, b + " other"), (None, "c d e f g h")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("1", "None"), ("2", "1"), ("3", "None"), ("None", "None"), ("None", "None")]
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    for rows, top in ((1, 5), (40, 60), (30, 100_000)):
+        one, two = ([np.unique(rng.integers(0, top, int(n))).astype(np.uint64) for n in rng.integers(1, 300, rows)] for _ in range(2))
+        want = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+        assert near_dedup.common_counts(one, two).tolist() == want
+
+
 def test_near_dedup_edges(edge):
     got = near_dedup.near_dedup(edge).collect()
     assert len(got) == len(EDGE)
