@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrabag.functions.expressions import dot, literal_vector, sigmoid
+from terrabag.storage import materialize
 
 from . import kernels as k
 from . import stats
-from .solvers import FitResult, KernelLogistic, PrimalLogistic, collect_gram
+from .solvers import MAX_DUAL_BAGS, FitResult, KernelLogistic, PrimalLogistic, collect_gram
 
 #: Valid triples of representation, decision kernel and solver.
 METHODS = {("exact_kme", "linear", "dual"): "M0", ("rff", "linear", "primal"): "M1", ("rff", "rbf", "dual"): "M2", ("sliced_wasserstein", "rbf", "dual"): "M3"}
@@ -92,25 +94,25 @@ class DistributionClassifier:
     def _scaled(self, cells: DataFrame) -> DataFrame:
         return stats.zscore(cells, self.width, self.stats) if self.scale_features else cells
 
-    def _represent(self, cells: DataFrame) -> DataFrame:
+    def _represent(self, cells: DataFrame, keep: tuple[str, ...] = ("bag_id",)) -> DataFrame:
         if self.spec.representation == "rff":
-            return k.embeddings(cells, self.weights)
+            return k.embeddings(cells, self.weights, keep)
         if self.spec.representation == "sliced_wasserstein":
-            return k.quantile_embeddings(cells, self.directions, self.spec.quantiles)
-        return cells.select("bag_id", "features")
+            return k.quantile_vectors(k.quantile_embeddings(cells, self.directions, self.spec.quantiles))
+        return cells.select("bag_id", *[c for c in ("cell_id",) if c in cells.columns], "features")
 
     def _gram(self, left: DataFrame, right: DataFrame | None) -> DataFrame:
         s = self.spec
         if s.representation == "exact_kme":
             return k.exact_gram(left, left if right is None else right, self.sigma_, upper=right is None, decimals=3 if self.round_exact else None)
-        d = k.quantile_distances(left, right) if s.representation == "sliced_wasserstein" else k.embedding_distances(left, right)
-        if right is None:
-            self.decision_sigma_ = self.decision_sigma if not self.auto_sigma and self.decision_sigma else float(k.distance_percentile(d, 50, positive=True).first().sigma)
-        return k.gaussian_of(d, self.decision_sigma_)
+        return k.vector_distances(left, right)
 
     def fit(self, cells: DataFrame) -> DistributionClassifier:
         """Fit on all bags of `cells`; the driver holds one number a bag for dual models, and the weights for primal ones."""
-        self.width = cells.select(F.max(F.size("features"))).first()[0]
+        one = cells.select(F.size("features")).first()
+        if one is None:
+            raise ValueError("no cells to fit on")
+        self.width = one[0]
         if self.scale_features:
             row = stats.zscore_stats(cells, self.width).first()
             self.stats = cells.sparkSession.createDataFrame([row])
@@ -120,16 +122,22 @@ class DistributionClassifier:
             self.weights = k.fourier_weights(self.width, self.spec.frequencies, self.sigma_, self.seed)
         elif self.spec.representation == "sliced_wasserstein":
             self.directions = k.unit_directions(self.width, self.spec.projections, self.seed)
-        labels = cells.groupBy("bag_id").agg(F.max("label").alias("label"))
-        rep = self._represent(x)
         if self.spec.solver == "primal":
-            self.result = PrimalLogistic(self.lam, self.max_iter, min(self.tol, 1e-6)).fit(rep.join(labels, "bag_id"), "embedding")
+            self.result = PrimalLogistic(self.lam, self.max_iter, min(self.tol, 1e-6)).fit(self._represent(x, ("bag_id", "label")), "embedding")
             return self
-        self.train = rep.persist()
-        known = {r.bag_id: r.label for r in labels.collect()}  # dual models are limited in bags
+        known = {r.bag_id: r.label for r in cells.groupBy("bag_id").agg(F.max("label").alias("label")).limit(MAX_DUAL_BAGS + 1).collect()}
+        if len(known) > MAX_DUAL_BAGS:
+            raise ValueError(f"a dual model holds {MAX_DUAL_BAGS} bags at most; more need a primal one")
         ids = sorted(known)
-        gram = collect_gram(self._gram(self.train, None), ids)
-        self.result = KernelLogistic(self.lam, self.max_iter, self.tol).fit(gram.values, np.array([known[b] for b in ids]))
+        # Written once, so that fitting and every later prediction read the same rows.
+        self.train = materialize(self._represent(x), "train")
+        gram = collect_gram(self._gram(self.train, None), ids).values
+        if self.spec.decision == "rbf":
+            apart = gram[np.triu_indices(len(ids), 1)]
+            apart = apart[apart > 0]
+            self.decision_sigma_ = self.decision_sigma if not self.auto_sigma and self.decision_sigma else float(np.median(apart)) if len(apart) else 1.0
+            gram = np.exp(-(gram**2) / (2 * self.decision_sigma_**2))
+        self.result = KernelLogistic(self.lam, self.max_iter, self.tol).fit(gram, np.array([known[b] for b in ids]))
         self.bag_ids = ids
         return self
 
@@ -140,9 +148,34 @@ class DistributionClassifier:
         rep = self._represent(self._scaled(cells))
         if self.spec.solver == "primal":
             return rep.select("bag_id", sigmoid(dot("embedding", literal_vector(self.result.coefficients))).alias("suitability"))
-        alpha = cells.sparkSession.createDataFrame([(b, float(a)) for b, a in zip(self.bag_ids, self.result.coefficients, strict=True)], f"bag_j {dict(cells.dtypes)['bag_id']}, alpha double")
-        eta = k.weighted_scores(self._gram(rep, self.train).join(F.broadcast(alpha), "bag_j"))
-        return eta.select(F.col("bag_i").alias("bag_id"), sigmoid("eta").alias("suitability"))
+        if self.spec.decision == "rbf":
+            eta = self._weighed_by_train(rep)
+        else:
+            alpha = cells.sparkSession.createDataFrame([(b, float(a)) for b, a in zip(self.bag_ids, self.result.coefficients, strict=True)], f"bag_j {dict(cells.dtypes)['bag_id']}, alpha double")
+            eta = k.weighted_scores(self._gram(rep, self.train).join(F.broadcast(alpha), "bag_j")).withColumnRenamed("bag_i", "bag_id")  # MAX_DUAL_BAGS rows
+        return eta.select("bag_id", sigmoid("eta").alias("suitability"))
+
+    def classify(self, cells: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """(bag_id, suitability, predicted): 1 where the suitability is at or over the threshold."""
+        return self.predict(cells).withColumn("predicted", (F.col("suitability") >= threshold).cast("int"))
+
+    def _weighed_by_train(self, rep: DataFrame) -> DataFrame:
+        """(bag_id, eta) of one vector a bag against all training vectors, which every task holds: MAX_DUAL_BAGS of the model's size."""
+        held = self.train.toArrow().sort_by("bag_id")
+        order = {b: i for i, b in enumerate(held.column("bag_id").to_pylist())}
+        alpha = np.array([a for _, a in sorted(zip((order[b] for b in self.bag_ids), self.result.coefficients, strict=True))])
+        known = rep.sparkSession.sparkContext.broadcast((k._matrix(held.column("embedding")), alpha))
+        scale = -0.5 / self.decision_sigma_**2
+
+        def score(batches):
+            t, a = known.value
+            for b in batches:
+                if b.num_rows:
+                    v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    eta = np.concatenate([np.exp(k.squared_distances(v[i : i + 256], t) * scale) @ a for i in range(0, len(v), 256)])
+                    yield pa.RecordBatch.from_arrays([b.column("bag_id"), pa.array(eta)], ["bag_id", "eta"])
+
+        return rep.mapInArrow(score, f"bag_id {dict(rep.dtypes)['bag_id']}, eta double")
 
 
 def cross_validate(model: DistributionClassifier, cells: DataFrame, plan: DataFrame, n_splits: int) -> DataFrame:

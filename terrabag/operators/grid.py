@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrabag.functions.expressions import finite, hash_key, in_ring, reflect
+from terrabag.storage import materialize
 
 
 def valid_cell(bands: str = "bands", nodata: float | None = None) -> Column:
@@ -100,13 +101,13 @@ def _widen(cells: DataFrame, centres: DataFrame, bucket: float, rings: int, near
     out, span = None, max(x or 0, y or 0)
     while True:
         last = bucket * rings > span
-        got = near(_met(cells, centres, bucket, rings), bucket * rings, last).localCheckpoint()  # else plans grow with every round
+        got = materialize(near(_met(cells, centres, bucket, rings), bucket * rings, last), "near")  # else plans grow with every round
         done = (got if last else got.filter("not open")).drop("open")
         out = done if out is None else out.unionByName(done)
         if last:
             return out
         gone = done.select(F.col("centre_id").alias("__gone")).distinct()
-        centres = centres.join(gone, F.col("centre_id").eqNullSafe(F.col("__gone")), "left_anti").localCheckpoint()
+        centres = materialize(centres.join(gone, F.col("centre_id").eqNullSafe(F.col("__gone")), "left_anti"), "centres")
         if centres.isEmpty():
             return out
         bucket *= 2
@@ -139,12 +140,16 @@ def anchors(grid: DataFrame, n: int, seed: int) -> DataFrame:
     return grid.filter("valid").withColumn("priority", hash_key(seed, "row", "col")).orderBy("priority", "row", "col").limit(n).select("row", "col", "priority")
 
 
-def nearest_cells(cells: DataFrame, centres: DataFrame, k: int, bucket: float, rings: int = 1) -> DataFrame:
+def nearest_cells(cells: DataFrame, centres: DataFrame, k: int, bucket: float | None = None, rings: int = 1) -> DataFrame:
     """(centre_id, cell_id, d2, rank): the k nearest cells of each centre, ties by cell_id; fewer only if there are fewer cells.
 
     Both sides meet in an equi-join on square buckets of width `bucket`, `rings` around a centre's own; centres whose k-th distance these
-    don't cover meet cells again in buckets of twice the width.
+    don't cover meet cells again in buckets of twice the width. Without a width, a bucket is as wide as holds k cells on the average.
     """
+    if bucket is None:
+        one = cells.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).cast("double").alias("w"), (F.max("y") - F.min("y")).cast("double").alias("h")).first()
+        side = max(one.w or 0.0, one.h or 0.0, 1e-9)
+        bucket = max((max(one.w or 0.0, side / 1000) * max(one.h or 0.0, side / 1000) * k / max(one.n, 1)) ** 0.5, side / 1e6)
 
     def near(met: DataFrame, reach: float, last: bool) -> DataFrame:
         d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))

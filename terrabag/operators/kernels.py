@@ -6,14 +6,17 @@ pairs outside their two bags, and the representations (embeddings, quantiles) ha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrabag.functions.expressions import dot, hash_key, hash_uniform, midpoint_quantiles, endpoint_quantiles, random_fourier, rbf, squared_distance
+from terrabag.functions.expressions import dot, hash_key, midpoint_quantiles, endpoint_quantiles, random_fourier, squared_distance
 
 
 def fourier_weights(d: int, m: int, sigma: float, seed: int) -> np.ndarray:
@@ -29,13 +32,173 @@ def unit_directions(d: int, n: int, seed: int) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
 
 
+#: Size of source files that make a few splits at most; shuffling their rows costs less than idle cores do.
+SMALL_BYTES = 2**30
+#: Partitions whose partial sums of a bag are added up in one group.
+PARTS = 256
+#: Cells or vectors of a tile, about; two tiles meet in one task.
+TILE = 2048
+
+
+class Kernel(Protocol):
+    """A similarity of two sets of rows."""
+
+    sigma: float
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray: ...
+
+
+class ApproximateKernel(Kernel, Protocol):
+    """A kernel that is the dot product of finite features."""
+
+    def feature_map(self, x: np.ndarray) -> np.ndarray: ...
+
+
+@dataclass(frozen=True)
+class GaussianKernel:
+    """exp(-|x - y|^2 / (2 sigma^2))."""
+
+    sigma: float
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.exp(squared_distances(x, y) * (-0.5 / self.sigma**2))
+
+
+@dataclass(frozen=True)
+class FourierKernel:
+    """Gaussian kernel by random Fourier features."""
+
+    sigma: float
+    features: int = 256
+    seed: int = 42
+
+    def feature_map(self, x: np.ndarray) -> np.ndarray:
+        z = x @ fourier_weights(x.shape[1], self.features, self.sigma, self.seed).T
+        return np.concatenate([np.cos(z), np.sin(z)], axis=1) * np.sqrt(1.0 / self.features)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.feature_map(x) @ self.feature_map(y).T
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All squared distances between rows, by one matrix product, 0 at least."""
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T), 0.0)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(float, copy=False)
+
+
+def _tile_pairs(left: DataFrame, right: DataFrame | None, work, schema: str) -> DataFrame:
+    """work(tile, tile) of every pair of tiles of left and right, or of left with itself; both have the columns bag_id, v and tile.
+
+    Every row is sent to the pairs that its tile is in, so rows are copied as often as there are tiles on the other side; the tiles of a
+    pair meet in an equi-join on the pair.
+    """
+    count = lambda df: (df.agg(F.max("tile")).first()[0] or 0) + 1
+    n = count(left)
+    m = n if right is None else count(right)
+    ti = F.sequence(F.col("tile"), F.lit(m - 1)) if right is None else F.sequence(F.lit(0), F.lit(m - 1))
+    tj = F.sequence(F.lit(0), F.col("tile")) if right is None else F.sequence(F.lit(0), F.lit(n - 1))
+    # Fresh names, as both sides may come from one table.
+    one = left.select(F.col("bag_id").alias("bag_id"), F.col("v").alias("v"), F.col("tile").alias("ti"), F.explode(ti).alias("tj"))
+    two = (left if right is None else right).select(F.col("bag_id").alias("bag_id"), F.col("v").alias("v"), F.explode(tj).alias("ti"), F.col("tile").alias("tj"))
+    return one.groupBy("ti", "tj").cogroup(two.groupBy("ti", "tj")).applyInArrow(work, schema)
+
+
+def _cell_tiles(cells: DataFrame) -> DataFrame:
+    """(bag_id, v, tile): a bag's cells share a tile, or as many as its size asks for."""
+    sizes = cells.groupBy("bag_id").agg(F.count(F.lit(1)).alias("n"))
+    tiles = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // TILE))
+    place = F.xxhash64(*[c for c in ("cell_id", "features") if c in cells.columns])
+    part = F.pmod(place, F.ceil(F.col("n") / TILE))
+    return cells.join(sizes, "bag_id").select("bag_id", F.col("features").alias("v"), F.pmod(F.xxhash64("bag_id") + part, F.lit(tiles)).cast("int").alias("tile"))
+
+
 def exact_gram(left: DataFrame, right: DataFrame, sigma: float, upper: bool = True, decimals: int | None = None) -> DataFrame:
-    """Mean Gaussian kernel over all pairs of cells of two bags; upper: only bag_i <= bag_j. Rounded half to even on request."""
-    a = left.select(F.col("bag_id").alias("bag_i"), F.col("features").alias("fi"))
-    b = right.select(F.col("bag_id").alias("bag_j"), F.col("features").alias("fj"))
-    met = a.join(b, F.col("bag_i") <= F.col("bag_j")) if upper else a.crossJoin(b)
-    value = F.avg(rbf("fi", "fj", sigma))
-    return met.groupBy("bag_i", "bag_j").agg((F.bround(value, decimals) if decimals is not None else value).alias("value"))
+    """Mean Gaussian kernel over all pairs of cells of two bags; upper: left with itself, only bag_i <= bag_j. Rounded half to even on request.
+
+    Tiles of cells meet as matrix products; only sums by pairs of bags leave a task.
+    """
+    if sigma <= 0:
+        raise ValueError("sigma must be positive")
+    kernel = GaussianKernel(sigma)
+
+    def work(one: pa.Table, two: pa.Table) -> pa.Table:
+        kind = one.schema.field("bag_id").type
+        if not (len(one) and len(two)):
+            return pa.table({"bag_i": pa.array([], kind), "bag_j": pa.array([], kind), "s": pa.array([], pa.float64()), "c": pa.array([], pa.float64())})
+        sides = []
+        for t in (one, two):
+            bags, code = np.unique(np.array(t.column("bag_id").to_pylist(), dtype=object if pa.types.is_string(kind) else None), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            sides.append((bags, _matrix(t.column("v"))[order], np.searchsorted(code[order], np.arange(len(bags)))))
+        (p, x, sx), (q, y, sy) = sides
+        # Slices of rows keep the kernel's block small whatever the tile holds.
+        rows = np.concatenate([np.add.reduceat(kernel(x[i : i + 512], y), sy, axis=1) for i in range(0, len(x), 512)])
+        s, c = np.add.reduceat(rows, sx, axis=0), np.outer(np.diff(np.append(sx, len(x))), np.diff(np.append(sy, len(y)))).astype(float)
+        i, j = (a.ravel() for a in np.meshgrid(np.arange(len(p)), np.arange(len(q)), indexing="ij"))
+        a, b, s, c = p[i], q[j], s.ravel(), c.ravel()
+        if upper:
+            same = one.column("ti")[0].as_py() == one.column("tj")[0].as_py()
+            if same:
+                held = (a <= b).astype(bool)
+                a, b, s, c = a[held], b[held], s[held], c[held]
+            else:
+                twice, swap = (a == b).astype(bool), (a > b).astype(bool)
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                s, c = np.where(twice, 2 * s, s), np.where(twice, 2 * c, c)
+        return pa.table({"bag_i": pa.array(a.tolist(), kind), "bag_j": pa.array(b.tolist(), kind), "s": pa.array(s), "c": pa.array(c)})
+
+    bag = dict(left.dtypes)["bag_id"]
+    sums = _tile_pairs(_cell_tiles(left), None if upper else _cell_tiles(right), work, f"bag_i {bag}, bag_j {bag}, s double, c double")
+    value = F.sum("s") / F.sum("c")
+    return sums.groupBy("bag_i", "bag_j").agg((F.bround(value, decimals) if decimals is not None else value).alias("value"))
+
+
+def vector_distances(left: DataFrame, right: DataFrame | None = None, column: str = "embedding") -> DataFrame:
+    """(bag_i, bag_j, value): Euclidean distances of one vector a bag, of left with itself (bag_i <= bag_j) or with right, tile by tile."""
+
+    def tiled(df: DataFrame) -> DataFrame:
+        tiles = max(1, -(-df.count() // TILE))
+        return df.select("bag_id", F.col(column).alias("v"), F.pmod(F.xxhash64("bag_id"), F.lit(tiles)).cast("int").alias("tile"))
+
+    upper = right is None
+
+    def work(one: pa.Table, two: pa.Table) -> pa.Table:
+        kind = one.schema.field("bag_id").type
+        if not (len(one) and len(two)):
+            return pa.table({"bag_i": pa.array([], kind), "bag_j": pa.array([], kind), "value": pa.array([], pa.float64())})
+        a, b = (np.array(t.column("bag_id").to_pylist(), dtype=object if pa.types.is_string(kind) else None) for t in (one, two))
+        d = np.sqrt(squared_distances(_matrix(one.column("v")), _matrix(two.column("v")))).ravel()
+        a, b = np.repeat(a, len(b)), np.tile(b, len(a))
+        if upper:
+            swap = (a > b).astype(bool)
+            if one.column("ti")[0].as_py() == one.column("tj")[0].as_py():
+                a, b, d = a[~swap], b[~swap], d[~swap]
+                d[a == b] = 0.0
+            else:
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.table({"bag_i": pa.array(a.tolist(), kind), "bag_j": pa.array(b.tolist(), kind), "value": pa.array(d)})
+
+    bag = dict(left.dtypes)["bag_id"]
+    return _tile_pairs(tiled(left), None if upper else tiled(right), work, f"bag_i {bag}, bag_j {bag}, value double")
+
+
+def quantile_vectors(quantiles: DataFrame) -> DataFrame:
+    """(bag_id, embedding): the quantiles of all projections as one vector, scaled so that Euclidean distances are sliced Wasserstein ones."""
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("proj", "q"))), lambda r: r["q"]))
+    return quantiles.groupBy("bag_id").agg(flat.alias("v")).select("bag_id", F.transform("v", lambda x: x / F.sqrt(F.size("v").cast("double"))).alias("embedding"))
+
+
+def spread(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows over all cores and True if the files they come from are so small that they'd leave most of them idle, else as they are."""
+    spark = rows.sparkSession
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    small = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) < SMALL_BYTES
+    cores = spark.sparkContext.defaultParallelism
+    return (rows.repartition(cores) if small else rows), small and cores <= PARTS
 
 
 def embeddings(cells: DataFrame, weights: np.ndarray, keep: Sequence[str] = ("bag_id",)) -> DataFrame:
@@ -62,14 +225,15 @@ def embeddings(cells: DataFrame, weights: np.ndarray, keep: Sequence[str] = ("ba
             if b.num_rows == 0:
                 continue
             types = [b.schema.field(k).type for k in keep]
-            flat = b.column("features").flatten().to_numpy(zero_copy_only=False)
-            z = flat.reshape(b.num_rows, -1) @ w
-            phi = np.concatenate([np.cos(z), np.sin(z)], axis=1) * np.sqrt(1.0 / m)
             keys = list(zip(*(b.column(k).to_pylist() for k in keep), strict=True))
             index: dict[tuple, int] = {}
             code = np.fromiter((index.setdefault(k, len(index)) for k in keys), dtype=np.int64, count=len(keys))
-            total = np.zeros((len(index), 2 * m))
-            np.add.at(total, code, phi)
+            order = np.argsort(code, kind="stable")
+            first = np.searchsorted(code[order], np.arange(len(index)))
+            flat = b.column("features").flatten().to_numpy(zero_copy_only=False)
+            z = flat.reshape(b.num_rows, -1)[order] @ w
+            # Cells of a bag lie together, so that features add up where they are made.
+            total = np.concatenate([np.add.reduceat(f(z), first, axis=0) for f in (np.cos, np.sin)], axis=1) * np.sqrt(1.0 / m)
             number = np.bincount(code, minlength=len(index))
             for k, i in index.items():
                 sums[k] = sums[k] + total[i] if k in sums else total[i]
@@ -79,11 +243,27 @@ def embeddings(cells: DataFrame, weights: np.ndarray, keep: Sequence[str] = ("ba
         if sums:
             yield flush()
 
-    part = cells.select(*keep, "features")
+    part, few = spread(cells.select(*keep, "features"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keep)
-    part = part.mapInArrow(partial, f"{fields}, n long, s array<double>")
-    total = part.groupBy(*keep).agg(F.sum("n").alias("n"), *[F.sum(F.element_at("s", i + 1)).alias(f"s{i}") for i in range(2 * m)])
-    return total.select(*keep, F.array(*[F.col(f"s{i}") / F.col("n") for i in range(2 * m)]).alias("embedding"))
+    part = part.mapInArrow(partial, f"{fields}, n long, s array<double>").withColumn("part", F.floor(F.spark_partition_id() / PARTS).cast("int"))
+    return _added_up(part, keep, fields, few)
+
+
+def _added_up(part: DataFrame, keep: Sequence[str], fields: str, few: bool) -> DataFrame:
+    """(*keep, embedding) of partial sums (*keep, part, n, s), in two steps of bounded groups: PARTS partitions, then what is
+    left of all; in one if the partitions are few.
+
+    Arrays are added in Arrow; one aggregate column a component would cost more time to compile than to run.
+    """
+
+    def add(keys: tuple, table: pa.Table) -> pa.Table:
+        held = {c: pa.array([key.as_py()], table.schema.field(c).type) for c, key in zip(grouped, keys, strict=True)}
+        s = _matrix(table.column("s")).sum(axis=0)
+        return pa.table({**held, "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "s": pa.array([s.tolist()], pa.list_(pa.float64()))})
+
+    for grouped in ([] if few else [(*keep, "part")]) + [tuple(keep)]:
+        part = part.groupBy(*grouped).applyInArrow(add, fields + (", part int" if "part" in grouped else "") + ", n long, s array<double>")
+    return part.select(*keep, F.transform("s", lambda v: v / F.col("n")).alias("embedding"))
 
 
 def small_embeddings(cells: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -179,17 +359,14 @@ def median_cell_distance(cells: DataFrame, seed: int, cells_used: int = 2048, pa
     Both numbers are parameters of the estimate and don't grow with the data: cells come from a top-k by md5, and each serves in
     ceil(pairs / cells) pairs with hashed partners.
     """
-    from pyspark.sql import Window
-
-    c = cells.withColumn("__k", hash_key(seed, "bag_id", "cell_id")).orderBy("__k", "bag_id", "cell_id").limit(cells_used)
-    c = c.select("features", (F.row_number().over(Window.orderBy("__k", "bag_id", "cell_id")) - 1).alias("i"))
-    n = c.agg(F.count(F.lit(1)).alias("n"))
-    each = F.least(F.lit(pairs), 4 * F.col("n"))
-    draws = n.filter("n > 1").select("n", F.explode(F.sequence(F.lit(0), (each - 1).cast("int"))).alias("t"))
-    draws = draws.select(F.floor(hash_uniform(seed, F.lit("a"), "t") * F.col("n")).cast("int").alias("i"), F.floor(hash_uniform(seed, F.lit("b"), "t") * F.col("n")).cast("int").alias("j"))
-    met = draws.join(c.withColumnRenamed("features", "a"), "i").join(c.select(F.col("i").alias("j"), F.col("features").alias("b")), "j")
-    d = F.sqrt(squared_distance("a", "b"))
-    return met.select(d.alias("d")).filter("d > 0").agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("sigma"))
+    c = cells.select("features", hash_key(seed, "bag_id", "cell_id").alias("k"), "bag_id", "cell_id").orderBy("k", "bag_id", "cell_id").limit(cells_used).select("features").toArrow()
+    n, sigma = len(c), 1.0
+    if n > 1:
+        u = lambda tag, t: int(hashlib.md5(f"{seed}:{tag}:{t}".encode()).hexdigest()[:13], 16) / 2**52  # noqa: E731  as hash_uniform
+        x, draws = _matrix(c.column("features")), range(min(pairs, 4 * n))
+        d = np.linalg.norm(x[[int(u("a", t) * n) for t in draws]] - x[[int(u("b", t) * n) for t in draws]], axis=1)
+        sigma = float(np.median(d[d > 0])) if (d > 0).any() else 1.0
+    return cells.sparkSession.createDataFrame([(sigma,)], "sigma double")
 
 
 def weighted_scores(cross: DataFrame, alpha: Column | str = "alpha") -> DataFrame:

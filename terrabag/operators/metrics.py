@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import rank_average
+from .stats import correlation, rank_average
 
 TINY = 1e-10
 
@@ -102,7 +102,7 @@ def roc_curve(scored: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks."""
-    return df.select(rank_average(a).alias("ra"), rank_average(b).alias("rb")).agg(F.corr("ra", "rb").alias("spearman"))
+    return df.select(rank_average(a).alias("ra"), rank_average(b).alias("rb")).agg(correlation("ra", "rb").alias("spearman"))
 
 
 def quantile_edges(scored: DataFrame, n_bins: int) -> DataFrame:
@@ -129,7 +129,7 @@ def boyce_index(scored: DataFrame, n_bins: int = 10, guard_constant: bool = True
     enough = F.count(F.lit(1)) >= 3
     if guard_constant:
         enough = enough & (F.max("ratio") > F.min("ratio"))
-    return r.agg(F.when(enough, F.corr("rc", "rr")).alias("boyce"))
+    return r.agg(F.when(enough, correlation("rc", "rr")).alias("boyce"))
 
 
 def continuous_boyce(scored: DataFrame, n_windows: int = 20, width: float = 0.1) -> DataFrame:
@@ -142,7 +142,7 @@ def continuous_boyce(scored: DataFrame, n_windows: int = 20, width: float = 0.1)
     # The windows are few and fixed in number: each score meets those that hold it.
     counts = scored.join(F.broadcast(w), (F.col("score") >= F.col("s")) & (F.col("score") < F.col("e"))).groupBy("s", "e", "p", "n").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
     r = counts.filter("b > 0").select(((F.col("s") + F.col("e")) / 2).alias("centre"), ((F.col("a") / F.col("p")) / (F.col("b") / F.col("n"))).alias("ratio"))
-    return r.select(rank_average("centre").alias("rc"), rank_average("ratio").alias("rr")).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("rc", "rr")).alias("cbi"))
+    return r.select(rank_average("centre").alias("rc"), rank_average("ratio").alias("rr")).agg(F.when(F.count(F.lit(1)) >= 3, correlation("rc", "rr")).alias("cbi"))
 
 
 def presence_background(scored: DataFrame, top: float = 0.05) -> DataFrame:
@@ -207,7 +207,7 @@ def score_agreement(df: DataFrame, item: str, a: str, b: str, top: float = 0.05)
     n = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * top)).alias("k"))
     ranked = df.select(item, a, b, F.row_number().over(Window.orderBy(F.desc(a), item)).alias("ia"), F.row_number().over(Window.orderBy(F.desc(b), item)).alias("ib"))
     both = ranked.crossJoin(F.broadcast(n)).agg((F.count_if((F.col("ia") <= F.col("k")) & (F.col("ib") <= F.col("k"))) / F.first("k")).alias("top_overlap"))
-    return df.agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.corr(a, b).alias("pearson")).crossJoin(spearman(df, a, b)).crossJoin(both)
+    return df.agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), correlation(a, b).alias("pearson")).crossJoin(spearman(df, a, b)).crossJoin(both)
 
 
 def paired_differences(rows: DataFrame, baseline: str, keys: Sequence[str], value: str) -> DataFrame:
@@ -264,4 +264,4 @@ def kernel_diagnostics(pairs: DataFrame) -> DataFrame:
     """pairs (bag_i, bag_j, exact, approx) of a whole matrix: relative Frobenius error, largest error, correlation above the diagonal."""
     d = F.col("exact") - F.col("approx")
     up = F.col("bag_i") < F.col("bag_j")
-    return pairs.agg((F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("exact") * F.col("exact")))).alias("relative_error"), F.max(F.abs(d)).alias("max_error"), F.corr(F.when(up, F.col("exact")), F.when(up, F.col("approx"))).alias("triangle_correlation"))
+    return pairs.agg((F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("exact") * F.col("exact")))).alias("relative_error"), F.max(F.abs(d)).alias("max_error"), correlation(F.when(up, F.col("exact")), F.when(up, F.col("approx"))).alias("triangle_correlation"))

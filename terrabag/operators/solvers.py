@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The dual solver holds an N x N matrix on the driver; more bags than this need a primal model.
 MAX_DUAL_BAGS = 5_000
+#: Rows times features up to which the primal solver works on the driver.
+LOCAL_NUMBERS = 4_000_000
 
 
 @dataclass
@@ -103,7 +106,11 @@ class PrimalLogistic:
         """rows has one array of doubles and a label a row; it is kept while the steps run."""
         data = rows.select(features, F.col(label).cast("double").alias("y")).persist()
         try:
-            d = data.select(F.max(F.size(features))).first()[0] or 0
+            size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).first()
+            d = size.d or 0
+            if 0 < size.n * d <= LOCAL_NUMBERS:
+                held = data.toArrow()
+                return self.fit_arrays(held.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(size.n, d), held.column(1).to_numpy())
             return self._newton(d, lambda beta: self._distributed(data, features, beta))
         finally:
             data.unpersist()
@@ -162,8 +169,8 @@ def collect_gram(upper: DataFrame, bag_ids: list) -> GramMatrix:
     if len(bag_ids) > MAX_DUAL_BAGS:
         raise ValueError("too many bags for a dual model")
     index = {b: i for i, b in enumerate(bag_ids)}
-    out = np.zeros((len(bag_ids), len(bag_ids)))
-    for r in upper.toLocalIterator():
-        i, j = index[r.bag_i], index[r.bag_j]
-        out[i, j] = out[j, i] = r.value
+    out, got = np.zeros((len(bag_ids), len(bag_ids))), upper.select("bag_i", "bag_j", "value").toArrow()
+    known = pd.Index(bag_ids)
+    i, j = (known.get_indexer(got.column(c).to_pandas()) for c in ("bag_i", "bag_j"))
+    out[i, j] = out[j, i] = got.column("value").to_numpy()
     return GramMatrix(bag_ids, out, index)

@@ -102,6 +102,11 @@ def mirror(upper: DataFrame, value: str) -> DataFrame:
     return upper.unionByName(upper.filter("bag_i < bag_j").select(F.col("bag_j").alias("bag_i"), F.col("bag_i").alias("bag_j"), value))
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation; null where either column is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def rank_average(by: str | Column, partition: Sequence[str] = ()) -> Column:
     """Average rank from 1 on, equal values sharing the mean of their ranks."""
     w = Window.partitionBy(*partition).orderBy(by)

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 def queries() -> dict[str, Query]:
     """All queries, those that fit models too."""
-    from . import model_queries  # noqa: F401  registers its queries
+    from . import model_queries, more_queries  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
@@ -138,7 +138,7 @@ def _seeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 SELECT centre_id, cell_id, ((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE AS d2, row_number() OVER (PARTITION BY centre_id ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), cell_id) AS rank FROM c, s QUALIFY rank <= 8""")
 def knn_background_patch(spark, d):
     c, s = _seeds(spark, d)
-    return g.nearest_cells(c, s, 8, bucket=300.0, rings=1).select("centre_id", "cell_id", "d2", F.col("rank").cast("long").alias("rank"))
+    return g.nearest_cells(c, s, 8).select("centre_id", "cell_id", "d2", F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH " + GRID + """, c AS (SELECT l_suppkey AS bag_id, l_orderkey * 10 + l_linenumber AS cell_id, (l_partkey // 40)::INT AS "row", (l_partkey % 40)::INT AS col FROM lineitem),
@@ -433,7 +433,7 @@ SELECT centre_id, round(1 / (1 + exp(-avg(f))), 6) AS suitability FROM k GROUP B
 def xy_surface_knn(spark, d):
     c, s = _seeds(spark, d)
     f = table(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), F.cos(F.col("p_size") / 10.0).alias("f"))
-    near = g.nearest_cells(c, s, 16, bucket=400.0, rings=1).join(f, "cell_id")
+    near = g.nearest_cells(c, s, 16).join(f, "cell_id")
     return near.groupBy("centre_id").agg(F.avg("f").alias("f")).select("centre_id", sigmoid("f").alias("suitability"))
 
 
@@ -610,7 +610,7 @@ def three_way_partition(spark, d):
 
 
 _FOLD_ROWS = "WITH " + SCORED + """, g AS (SELECT method, repeat, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM scored GROUP BY ALL), s AS (SELECT *, sum(pos) OVER (PARTITION BY method, repeat ORDER BY score DESC) AS tp FROM g),
-a AS (SELECT method, repeat AS fold, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) AS auc FROM s GROUP BY ALL), f AS (SELECT a.*, b.mean_score FROM a JOIN (SELECT method, repeat AS fold, avg(score) AS mean_score FROM scored GROUP BY ALL) b USING (method, fold))"""
+a AS (SELECT method, repeat AS fold, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * sum(neg)::DOUBLE, 0) AS auc FROM s GROUP BY ALL), f AS (SELECT a.*, b.mean_score FROM a JOIN (SELECT method, repeat AS fold, avg(score) AS mean_score FROM scored GROUP BY ALL) b USING (method, fold))"""
 
 
 def _fold_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -25,17 +25,17 @@ def m0_bag_scores(spark, d):
 
 @query()
 def m1_bag_scores(spark, d):
-    return _scores(c.ModelSpec.m1(16), cells(spark, d))
+    return _scores(c.ModelSpec.m1(), cells(spark, d))
 
 
 @query()
 def m2_bag_scores(spark, d):
-    return _scores(c.ModelSpec.m2(32), cells(spark, d))
+    return _scores(c.ModelSpec.m2(), cells(spark, d))
 
 
 @query()
 def m3_bag_scores(spark, d):
-    return _scores(c.ModelSpec.m3(8, 16), people(spark, d))
+    return _scores(c.ModelSpec.m3(), people(spark, d))
 
 
 _BETA = [0.9, -0.4, 0.25, 0.6, -0.7, 0.2, 0.35, -0.15]

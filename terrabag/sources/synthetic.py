@@ -41,61 +41,72 @@ class Scenario:
 
 
 def _size(cfg: Scenario, i: int) -> int:
-    """The size of the i-th bag of either class."""
-    if not cfg.unequal_bag_sizes:
-        return cfg.bag_size
-    u = np.random.default_rng([cfg.seed, 11, i]).random()
-    low, high = math.log(cfg.min_bag_size), math.log(cfg.max_bag_size)
-    return int(round(math.exp(low + u * (high - low))))
+    """The size of the i-th bag of either class: uniform between the limits where sizes are unequal."""
+    return int(np.random.default_rng([cfg.seed, 11, i]).integers(cfg.min_bag_size, cfg.max_bag_size + 1)) if cfg.unequal_bag_sizes else cfg.bag_size
 
 
-def draw(cfg: Scenario, label: int, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n cells of a bag of the label."""
+#: Largest distance of two modes from 0, and least variance within one, of distributions whose variance is kept at 1.
+MOST_APART, LEAST_WITHIN = 0.95, 0.05
+#: Deviation within the modes of nonlinear_mixture.
+WITHIN = 0.35
+
+
+def _two_modes(apart: float, shape: int | tuple[int, int], rng: np.random.Generator) -> np.ndarray:
+    """Values around -apart and +apart, at random, with a variance of about 1 in all."""
+    return rng.choice([-apart, apart], size=shape) + rng.normal(size=shape) * math.sqrt(max(1 - apart * apart, LEAST_WITHIN))
+
+
+def draw(cfg: Scenario, label: int, bag: int, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n cells of a bag of the label. `bag` numbers it in its class: two scenarios differ between even and odd bags.
+
+    Background bags are standard normal, but for nonlinear_mixture, where each cell of theirs is at either mode while a site's are all at
+    one, and moment_matched_xor, where the first two features of a background bag have equal shapes, one or two modes, and a site's
+    unequal ones.
+    """
     x, k, e = rng.normal(size=(n, cfg.n_features)), cfg.n_signal_features, cfg.effect_size
-    if label == 0 and cfg.scenario not in ("moment_matched_xor",):
-        return x
-    if cfg.scenario == "mean_shift":
+    if cfg.scenario == "nonlinear_mixture":
+        side = rng.choice([-1.0, 1.0], size=n) if label == 0 else 2.0 * (bag % 2) - 1.0
+        x[:, 0] = side * max(e, 1e-8) + rng.normal(size=n) * WITHIN
+    elif cfg.scenario == "moment_matched_xor":
+        for feature, bimodal in enumerate((bag % 2, (bag + label) % 2)):
+            if bimodal:
+                x[:, feature] = _two_modes(min(e, MOST_APART), n, rng)
+    elif label == 1 and cfg.scenario in ("mean_shift", "sparse_signal"):
         x[:, :k] += e
-    elif cfg.scenario == "variance_shift":
+    elif label == 1 and cfg.scenario == "variance_shift":
         x[:, :k] *= 1 + e
-    elif cfg.scenario == "heavy_tail":
-        x[:, :k] = rng.standard_t(3, size=(n, k)) / math.sqrt(3)
-    elif cfg.scenario == "multimodal":
-        gap = min(e, 0.999)
-        x[:, :k] = rng.choice([-1.0, 1.0], size=(n, k)) * gap + x[:, :k] * math.sqrt(1 - gap * gap)
-    elif cfg.scenario == "correlation_shift":
-        rho = min(e, 0.999)
+    elif label == 1 and cfg.scenario == "heavy_tail" and e > 0:
+        tail = rng.standard_t(3, size=(n, k)) / math.sqrt(3)
+        x[:, :k] = np.where(rng.random((n, k)) < min(e, 1.0), tail, x[:, :k])
+    elif label == 1 and cfg.scenario == "multimodal" and e > 0:
+        x[:, :k] = _two_modes(min(e, MOST_APART), (n, k), rng)
+    elif label == 1 and cfg.scenario == "correlation_shift":
+        rho = min(e, MOST_APART)
         x[:, 1] = rho * x[:, 0] + math.sqrt(1 - rho * rho) * x[:, 1]
-    elif cfg.scenario == "sparse_signal":
-        x[rng.random(n) < 0.1, :k] += e * 4
-    elif cfg.scenario == "nonlinear_mixture":
-        ring = rng.random(n) < 0.5
-        angle = rng.uniform(0, 2 * np.pi, n)
-        x[ring, 0], x[ring, 1] = (1 + e) * np.cos(angle[ring]), (1 + e) * np.sin(angle[ring])
-    elif cfg.scenario == "moment_matched_xor":
-        gap = min(e, 0.999)
-        a, b = rng.choice([-1.0, 1.0], size=n), rng.choice([-1.0, 1.0], size=n)
-        third = rng.choice([-1.0, 1.0], size=n) if cfg.n_features > 2 else None
-        noise = math.sqrt(1 - gap * gap)
-        signs = [a, b] if third is None else [a, b, a * b if label else third]
-        if third is None and label:
-            signs = [a, b * np.where(rng.random(n) < 0.5, 1.0, -1.0)]
-        for j, s in enumerate(signs):
-            x[:, j] = gap * s + noise * x[:, j]
     return x
 
 
+def places(n: int, bag: int, label: int) -> np.ndarray:
+    """Coordinates of n cells in a square; twelve bags a row, three cells apart, classes 1000 apart."""
+    side = math.ceil(math.sqrt(n))
+    at = np.arange(n)
+    return np.stack([at % side + bag % 12 * (side + 3), at // side + bag // 12 * (side + 3) + 1000 * label], axis=1).astype(float)
+
+
 def spatial_copula(x: np.ndarray, xy: np.ndarray, reach: float, rng: np.random.Generator) -> np.ndarray:
-    """x with each column's values put in the order of a Gaussian field of exponential covariance; marginals stay."""
+    """x with each column read from its own quantile function at the probabilities of a Gaussian field of exponential covariance.
+
+    Probabilities are clipped to those of the least and the largest value; so a bag's mean varies the more, the farther the field reaches.
+    """
     if reach <= 0 or len(x) < 2:
         return x
     d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(-1))
     root = np.linalg.cholesky(np.exp(-d / reach) + 1e-6 * np.eye(len(x)))
-    out = np.empty_like(x)
+    at, out = (np.arange(len(x)) + 0.5) / len(x), np.empty_like(x)
     for j in range(x.shape[1]):
         z = root @ rng.normal(size=len(x))
-        u = np.clip([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z], 1e-9, 1 - 1e-9)
-        out[:, j] = np.interp(u, (np.arange(len(x)) + 0.5) / len(x), np.sort(x[:, j]))
+        u = np.clip([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z], at[0], at[-1])
+        out[:, j] = np.interp(u, at, np.sort(x[:, j]))
     return out
 
 
@@ -108,9 +119,8 @@ def synthetic_bags(spark: SparkSession, cfg: Scenario) -> DataFrame:
             for bag in b["bag"]:
                 label, i = divmod(int(bag), cfg.n_bags_per_class)
                 rng, n = np.random.default_rng([cfg.seed, label, i]), _size(cfg, i)
-                side = math.ceil(math.sqrt(n))
-                xy = np.stack([np.arange(n) % side + 100.0 * i, np.arange(n) // side + 1000.0 * label], axis=1)
-                x = spatial_copula(draw(cfg, label, n, rng), xy, cfg.spatial_range, rng)
+                xy = places(n, i, label)
+                x = spatial_copula(draw(cfg, label, i, n, rng), xy, cfg.spatial_range, rng)
                 yield pd.DataFrame({"bag_id": f"{'site' if label else 'background'}-{i:05d}", "cell_id": np.arange(n), "label": label, "features": list(x), "x": xy[:, 0], "y": xy[:, 1], "group_id": f"group-{label}-{i // cfg.bags_per_group}"})
 
     return bags.mapInPandas(make, "bag_id string, cell_id long, label int, features array<double>, x double, y double, group_id string")
@@ -164,3 +174,28 @@ def grid_of(spark: SparkSession, bands: np.ndarray) -> DataFrame:
     r, c = np.divmod(np.arange(h * w), w)
     cells = pd.DataFrame({"row": r.astype("int32"), "col": c.astype("int32"), "x": c + 0.5, "y": h - r - 0.5, "bands": list(bands.reshape(n, -1).T.astype(float)), "valid": np.isfinite(bands).all(axis=0).ravel()})
     return spark.createDataFrame(cells, "row int, col int, x double, y double, bands array<double>, valid boolean")
+
+
+def noise_grid(spark: SparkSession, height: int, width: int, n_bands: int, seed: int) -> DataFrame:
+    """A grid of uniform noise; every value is a hash of its place, so any size is made in parallel."""
+    from terrabag.functions.expressions import hash_uniform
+
+    r, c = F.floor(F.col("id") / width).cast("int"), (F.col("id") % width).cast("int")
+    bands = F.array(*[hash_uniform(seed, F.lit(str(b)), "id") for b in range(n_bands)])
+    return spark.range(height * width).select(r.alias("row"), c.alias("col"), (c + 0.5).cast("double").alias("x"), (F.lit(height) - r - 0.5).cast("double").alias("y"), bands.alias("bands"), F.lit(True).alias("valid"))
+
+
+def benchmark_landscape(spark: SparkSession, height: int, width: int, n_sites: int, size: int, seed: int, weight: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(grid, sites): three bands that mix the sites' trend with smooth fields, and the sites (point_id, row, col); for small rasters."""
+    trend, sites = site_trend(height, width, n_sites, size, seed)
+    fields = [gaussian_field(height, width, size * (b + 2), seed + b + 1) for b in range(3)]
+    bands = np.stack([weight * trend + (1 - weight) * fields[0], rescale((1 - trend) * weight + (1 - weight) * fields[1], 50.0, 10.0), fields[2]])
+    return grid_of(spark, bands), spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(sites)], "point_id long, row int, col int")
+
+
+def toy_bags(spark: SparkSession, kind: str = "standard", n_bags: int = 12, size: int = 30, d: int = 4, seed: int = 42) -> DataFrame:
+    """Cells of n_bags bags a class: 'standard' classes differ in their mean by 1, 'bimodal' ones only in having one or two modes."""
+    if kind not in ("standard", "bimodal"):
+        raise ValueError("kind must be 'standard' or 'bimodal'")
+    scenario = Scenario("mean_shift" if kind == "standard" else "multimodal", n_bags, d, d, size, effect_size=1.0 if kind == "standard" else 0.95, seed=seed)
+    return synthetic_bags(spark, scenario)
