@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrabag.storage import materialize, shared_dir  # noqa: F401  for the operators
+
 #: Stands for a null doc_id inside the operators; it sorts before every other id and comes back as null.
 NULL_ID = -(2**63)
 #: A key is hot when it holds more than this share of the rows. At most 1 / HOT_SHARE keys can be hot.
@@ -17,24 +16,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrabag-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, in whatever case."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,7 +45,8 @@ def join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: in
 
     Keys with more than HOT_SHARE of the `total` rows are at most 1 / HOT_SHARE, so they are broadcast whatever the size of the
     data; all others meet in a join in which no key can fill a task. Unmatched rows go, or keep nulls on request. `shuffle`: the others
-    are shuffled even while the table is small enough for Spark to broadcast, so that costs grow evenly.
+    are shuffled even while Spark would broadcast them, for tables of lines, which grow with the data up to where a broadcast no longer
+    fits; one plan at all sizes keeps what is tested small the same as what runs large.
     """
     limit = max(1.0, total * HOT_SHARE)
     hot = stats.filter(F.col(weight) > limit)

@@ -7,6 +7,7 @@ the prototype with the largest cosine.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,8 +20,9 @@ from .common import NULL_ID, public_id
 
 #: Components of a vector.
 DIMENSIONS = 1024
-#: Letters are told apart modulo this number; 0 stands for anything else.
-ALPHABET = 251
+#: Bits of a letter's code; 0 stands for anything that is no letter.
+CODE_BITS = 21
+MASK = (1 << CODE_BITS) - 1
 #: Partial sums of a language that are added up apart before the last step.
 SPREAD = 32
 UNKNOWN = "und"
@@ -28,29 +30,38 @@ _CODES: np.ndarray | None = None
 
 
 def letter_codes() -> np.ndarray:
-    """Code of each code point: 0 if it is no letter, else 1 and up, the same for either case."""
+    """Code of each code point: 0 if it is no letter, else that of its lower-case letter."""
     global _CODES
     if _CODES is None:
-        codes = np.zeros(0x110000, dtype=np.int32)
+        codes = np.zeros(0x110000, dtype=np.int64)
         for i in range(0x110000):
             c = chr(i)
             if unicodedata.category(c)[0] == "L":
-                low = c.lower()
-                codes[i] = 1 + (ord(low[0]) * 7919) % (ALPHABET - 1)
+                codes[i] = ord(c.lower()[0])
         _CODES = codes
     return _CODES
 
 
-def _letters(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), size=(ALPHABET, DIMENSIONS))
+class Letters:
+    """The vectors of letters, made from a hash of seed and letter when they are first asked for: every letter of every script has its own."""
+
+    def __init__(self, seed: int):
+        self.seed, self.slot, self.table = seed, np.full(0x110000, -1, dtype=np.int32), np.empty((0, DIMENSIONS), dtype=np.int8)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        new = np.unique(codes[self.slot[codes] < 0])
+        if len(new):
+            bits = [np.unpackbits(np.frombuffer(hashlib.shake_256(f"{self.seed}:{c}".encode()).digest(DIMENSIONS // 8), np.uint8)) for c in new.tolist()]
+            self.slot[new] = np.arange(len(self.table), len(self.table) + len(new))
+            self.table = np.concatenate([self.table, np.array(bits, dtype=np.int8) * 2 - 1])
+        return self.table[self.slot[codes]]
 
 
 class Encoder:
     """Texts to vectors."""
 
     def __init__(self, seed: int):
-        self.codes, base = letter_codes(), _letters(seed)
-        self.first, self.second, self.third = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+        self.codes, self.letters = letter_codes(), Letters(seed)
 
     def trigrams(self, text: str) -> np.ndarray:
         """Trigram codes over letters, with every run of other characters as one gap; empty if the text has no letters."""
@@ -59,7 +70,7 @@ class Encoder:
             return np.empty(0, dtype=np.int64)
         c = np.concatenate([[0], c, [0]]).astype(np.int64)
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-        return (c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:]
+        return (c[:-2] << 2 * CODE_BITS) | (c[1:-1] << CODE_BITS) | c[2:]
 
     def bundle(self, grams: list[np.ndarray]) -> np.ndarray:
         """One unit vector for each list of trigram codes; zeros for an empty one."""
@@ -71,7 +82,7 @@ class Encoder:
         count = np.bincount(np.repeat(np.arange(len(grams)), sizes) * len(values) + where, minlength=len(grams) * len(values)).reshape(len(grams), -1).astype(np.float32)
         for i in range(0, len(values), 8192):
             v = values[i : i + 8192]
-            bound = self.first[v // ALPHABET**2] * self.second[v // ALPHABET % ALPHABET] * self.third[v % ALPHABET]
+            bound = self.letters(v & MASK) * np.roll(self.letters((v >> CODE_BITS) & MASK), 1, axis=1) * np.roll(self.letters(v >> 2 * CODE_BITS), 2, axis=1)
             out += count[:, i : i + 8192] @ bound.astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
@@ -190,8 +201,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row a document: doc_id, held_out, lang_pred, score.
 
     The model learns from text and language of the rows that aren't held out. lang_pred is UNKNOWN, with score 0, where the text is
-    null or has no letters. A null doc_id isn't held out. Repeated rows give repeated rows; an empty table gives an empty result; other
-    columns are ignored.
+    null, empty or has no letters. Very long texts are taken whole. Of languages with equal cosines the first by name counts. A null
+    doc_id isn't held out. Repeated rows give repeated rows; an empty table gives an empty result; other columns, whatever their names,
+    are ignored.
     """
     model = fit_languages(docs.filter(~held_out(docs[id_col])), text_col, lang_col)
     found = model.predict(docs, id_col, text_col)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, texts
+from .common import NULL_ID, free, join_hot, materialize, texts
 
 #: Leading tokens in a leaf's path; share of a general template's tokens that are constant at least.
 DEPTH, CONSTANT = 3, 0.5
@@ -31,7 +31,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))
 
 
-def _cuts(lines: DataFrame, exact: DataFrame, leaves: DataFrame) -> DataFrame:
+def _cuts(lines: DataFrame, exact: DataFrame, leaves: DataFrame, total: int) -> DataFrame:
     """(t, docs, first, sig, size, limit): the general templates that each line t of the given leaves may carry.
 
     A token at a position is as frequent as the documents of the leaf's lines that have it there. A line's tokens down to any frequency
@@ -39,7 +39,7 @@ def _cuts(lines: DataFrame, exact: DataFrame, leaves: DataFrame) -> DataFrame:
     show: tokens of a template are as frequent as it is, and what fills its fields is less so.
     """
     t = ["leaf", "t1", "t2"]
-    own = lines.join(leaves, "leaf", "left_semi").groupBy(*t).agg(F.first("n").alias("n"), F.first("line").alias("line"))
+    own = join_hot(lines, leaves, "leaf", "lines", total).groupBy(*t).agg(F.first("n").alias("n"), F.first("line").alias("line"))
     own = materialize(own.join(exact.select(*t, "docs", "first"), t), "leaf-lines")
     tokens = own.select(*t, "n", "docs", "first", F.posexplode(F.split("line", " ")).alias("at", "token"))
     tokens = tokens.select(*t, "n", "docs", "first", "at", F.xxhash64("leaf", "at", "token").alias("w"), F.octet_length("token").alias("bytes"))
@@ -62,9 +62,9 @@ def recurring_lines(body: DataFrame) -> DataFrame:
     total = max(1, found.count())
     once = found.select("did", "tk", "n", "floor", "leaf", "t1", "t2").distinct()
     exact = materialize(once.groupBy("leaf", "t1", "t2", "n", "floor").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("first")), "templates")
-    leaves = exact.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("leaf")
-    # Spark broadcasts the leaves while they are small by its own limit, and shuffles both sides beyond.
-    cuts = materialize(_cuts(_lines(body), exact, materialize(leaves, "leaves")), "cuts")
+    # A leaf may hold a third of all lines: such ones meet them in a join of their own.
+    leaves = exact.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("lines")).filter("kinds > 1").select("leaf", "lines")
+    cuts = materialize(_cuts(_lines(body), exact, materialize(leaves, "leaves"), total), "cuts")
     likely = cuts.groupBy("sig").agg(F.sum("docs").alias("most"), F.first("limit").alias("limit"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1 and most >= limit")
     cuts = materialize(join_hot(cuts.drop("limit"), materialize(likely.select("sig", "limit", "kinds"), "likely"), "sig", "kinds", max(1, cuts.count())), "cuts")
     # Documents of a general template: lines of one document that share it count once.
@@ -91,23 +91,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All rows stay, in the columns of docs; a text that loses every line becomes empty. Blank lines stay. A null
     text stays null and counts as empty; a null doc_id counts as the least id. Rows that repeat a doc_id are documents of their own if
-    their texts differ, and count once if not. An empty table gives an empty result. Columns with clashing names are kept as they are.
+    their texts differ, and count once if not. Very long texts are split whole. Of templates that
+    explain equally much, the one with more constant tokens counts, then the one of the larger hash. An empty table gives an empty
+    result. Columns of any name are kept as they are.
     """
     columns = docs.columns
-    body = texts(docs, id_col, text_col)
-    drops = recurring_lines(body).select(F.col("did").alias("__did"), F.col("tk").alias("__tk"), F.col("drop").alias("__drop"))
-    keyed = docs.withColumn("__id", F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63)))).withColumn("__text", F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    met = keyed.join(drops.hint("merge"), (F.col("__id") == F.col("__did")) & (F.col("__text") == F.col("__tk")), "left")
+    own_id, own_text, did, tk, gone = (free(n, columns) for n in ("line_id", "line_text", "line_did", "line_tk", "line_drop"))
+    drops = recurring_lines(texts(docs, id_col, text_col)).select(F.col("did").alias(did), F.col("tk").alias(tk), F.col("drop").alias(gone))
+    keyed = docs.withColumn(own_id, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).withColumn(own_text, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    met = keyed.join(drops.hint("merge"), (F.col(own_id) == F.col(did)) & (F.col(own_text) == F.col(tk)), "left")
     parts = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     rest = F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
-    met = met.withColumn("__new", F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(rest))
+    met = met.withColumn(own_text, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
     out = []
     for c in columns:
         if c == text_col:
-            out.append(F.col("__new").alias(c))
+            out.append(F.col(own_text).alias(c))
         elif c == count_col:
-            out.append(F.when(F.col("__drop").isNull(), F.col(c)).otherwise(F.char_length("__new")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.char_length(own_text)).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(c))
     return met.select(*out)

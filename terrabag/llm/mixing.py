@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import free, join_hot, materialize
 
 #: Means above this are split into equal parts, each drawn on its own.
 PART = 64.0
@@ -56,19 +56,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     """The columns of docs and mix_copy: each document once for every copy drawn, in a globally shuffled order.
 
     A null source is a source of its own; a null or non-positive size counts as one character; a null doc_id hashes as an empty string.
-    Rows that repeat a doc_id draw the same number. An empty table gives an empty result; columns with clashing names don't matter but
-    for mix_copy, which is replaced.
+    Empty and very long texts are rows like others, their sizes come from size_col. Rows that repeat a doc_id draw the same number, and
+    so do equal hashes. An empty table gives an empty result. Columns of any name are kept, but for mix_copy, which is replaced.
     """
     columns = [c for c in docs.columns if c != "mix_copy"]
+    source, rows, parts, cdf, key, times = (free(n, docs.columns) for n in ("mix_source", "mix_rows", "mix_parts", "mix_cdf", "mix_key", "mix_times"))
     rates = source_rates(docs, weights, source_col, size_col)
-    parts = F.ceil(F.col("rate") / PART).cast("int")
-    table = materialize(rates.withColumn("parts", F.greatest(parts, F.lit(1))).select(F.col("source").alias("__source"), F.col("rows").alias("__rows"), F.col("parts").alias("__parts"), _distribution(F.col("rate") / F.greatest(parts, F.lit(1))).alias("__cdf")), "rates")
-    total = table.agg(F.sum("__rows")).first()[0] or 1
-    doc_id = F.coalesce(docs[id_col].cast("string"), F.lit(""))
-    keyed = docs.select(*[docs[c] for c in columns], F.coalesce(docs[source_col].cast("string"), F.lit(_NO_SOURCE)).alias("__source"), doc_id.alias("__id"))
-    met = join_hot(keyed, table, "__source", "__rows", total)
-    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), F.col("__id"), j.cast("string")))).cast("long")
-    times = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0).cast("long"), lambda n, j: n + draw(j))
-    counted = met.withColumn("__times", times).filter("__times > 0").select(*columns, "__id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("mix_copy"))
-    key = F.xxhash64(F.lit(seed), "__id", "mix_copy")
-    return counted.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key").select(*columns, "mix_copy")
+    split = F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1))
+    table = materialize(rates.withColumn("parts", split).select(F.col("source").alias(source), F.col("rows").alias(rows), F.col("parts").alias(parts), _distribution(F.col("rate") / F.col("parts")).alias(cdf)), "rates")
+    total = table.agg(F.sum(rows)).first()[0] or 1
+    keyed = docs.select(*[docs[c] for c in columns], F.coalesce(docs[source_col].cast("string"), F.lit(_NO_SOURCE)).alias(source), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias(key))
+    met = join_hot(keyed, table, source, rows, total)
+    # One number a part, made before it is looked up in the distribution.
+    drawn = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(F.lit(str(seed)), F.col(key), j.cast("string")))
+    copies = F.aggregate(drawn, F.lit(0).cast("long"), lambda n, u: n + F.size(F.filter(F.col(cdf), lambda c: c <= u)).cast("long"))
+    counted = met.withColumn(times, copies).filter(F.col(times) > 0).select(*columns, key, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias("mix_copy"))
+    order = F.xxhash64(F.lit(seed), F.col(key), F.col("mix_copy"))
+    return counted.withColumn(key, order).repartition(F.col(key)).sortWithinPartitions(key).select(*columns, "mix_copy")

@@ -17,8 +17,15 @@ from .suffix_dedup import repeated_bytes
 from .token_count import token_counts
 from .winnowing import fingerprints
 
-#: Tokenizer files are public and stay where they are installed; another place can be named here.
-TOKENIZERS = "/opt/tokenizers"
+#: The vocabulary of token counts and packing.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def tokenizer_file(name: str = VOCABULARY) -> str:
+    """Where a public tokenizer's file is installed; it is read there and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +33,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_counts(documents(spark, sf_dir), tokenizer_file())
 
 
 def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack(documents(spark, sf_dir), tokenizer_file())
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,7 +210,7 @@ class AnchorLevels(Levels):
 
 def _owners(entries: int) -> int:
     bits = 6
-    while bits < 13 and (1 << bits) * PER_OWNER < entries:
+    while (1 << bits) * PER_OWNER < entries:
         bits += 1
     return bits
 
@@ -430,7 +430,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removed is each byte of the UTF-8 text covered by a WIDTH-byte string that also starts anywhere else, in the same document too;
     matches don't cross documents and are judged on the input. n_spans counts maximal removed runs; kept_sha256 is that of the bytes
     that remain. A null text counts as empty; texts under WIDTH bytes stay whole. A null doc_id comes back as null; repeated rows are
-    documents of their own, so their strings recur. An empty table gives an empty result; other columns are ignored.
+    documents of their own, so their strings recur. Very long texts are taken whole, CHUNK bytes at a time. Of equal strings all go, so
+    ties don't arise. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     body = texts(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
     sized = body.withColumn("pid", F.shiftright(F.monotonically_increasing_id(), 33)).withColumn("size", F.octet_length("text").cast("long")).withColumn("sha", F.unhex(F.sha2("text", 256)))

@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Tokens are runs of visible characters, cut every TOKEN code points. Hashes of GRAM tokens come from doubling (one, two, four tokens, and
+Tokens are runs of visible characters; runs of more than TOKEN code points, as in scripts without spaces, and texts under SHORT code
+points are taken character by character. Hashes of GRAM tokens come from doubling (one, two, four tokens, and
 one more), the least hash of each WINDOW of them, the rightmost of equal ones, is kept with its position. Two texts that share
 GRAM + WINDOW - 1 tokens in a row share a fingerprint.
 """
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import public_id, texts
 
 TOKEN, GRAM, WINDOW = 16, 5, 16
-#: Low bits of a kept number hold the position, counted down; the rest is the hash.
-POSITION_BITS = 24
+#: Texts of fewer code points have too few words for a window.
+SHORT = 120
+#: Low bits of a kept number hold the position, counted down; the rest is the hash. No string has more tokens than they can count.
+POSITION_BITS = 30
 _LOW = (1 << POSITION_BITS) - 1
 #: Documents of neighbouring ids that are looked at together, about.
 PER_BUCKET = 200
@@ -36,7 +39,8 @@ def with_winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     t, h, g, m = f"__t_{out}", f"__h_{out}", f"__g_{out}", f"__m_{out}"
     held = df.columns
-    df = df.withColumn(t, F.regexp_extract_all(F.col(text), F.lit(f"\\S{{1,{TOKEN}}}"), F.lit(0)))
+    words = F.regexp_extract_all(F.col(text), F.lit(f"(?<!\\S)\\S{{1,{TOKEN}}}(?!\\S)|\\S"), F.lit(0))
+    df = df.withColumn(t, F.when(F.char_length(text) < SHORT, F.regexp_extract_all(F.col(text), F.lit("\\S"), F.lit(0))).otherwise(words))
     df = df.withColumn(h, F.transform(t, lambda w: F.xxhash64(w)))
     df = df.withColumn(g, _join(F.col(h), 1, _mix))
     df = df.withColumn(g, _join(F.col(g), 2, _mix))
@@ -112,9 +116,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has the last quarter of the code points replaced by as many first ones of the next document by ascending doc_id.
     near_edited and near_next are the Jaccard likeness of the hashes kept of the text and of the edited or the next text. A null text
-    counts as empty; two empty fingerprints are alike. A null doc_id counts as the least id and comes back as null; of rows that
+    counts as empty; two empty fingerprints are alike. Very long texts are taken whole; of equal hashes in a window the rightmost is kept. A null doc_id counts as the least id and comes back as null; of rows that
     repeat a doc_id the next is decided by the hash of their texts; a single row is its own next; an empty table gives an empty result;
-    other columns are ignored.
+    other columns, whatever their names, are ignored.
     """
     kept = with_winnowed(texts(docs, id_col, text_col), "text", "kept").withColumn("n", F.char_length("text").cast("long"))
     met = with_next(kept, ["text", "kept"])

@@ -16,7 +16,13 @@ from terrabag.llm import golomb, language_id, line_dedup, mixing, near_dedup, pa
 from terrabag.llm.components import connected_components
 from terrabag.llm.exact_dedup import exact_dedup
 
-DATA, VOCAB = "/root/testdata/sf0.001", "/opt/tokenizers/word_bpe_49k.json"
+from terrabag.llm.queries import tokenizer_file
+
+try:
+    VOCAB = tokenizer_file()
+except ImportError:
+    VOCAB = ""
+DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 needs_vocab = pytest.mark.skipif(not os.path.exists(VOCAB), reason="tokenizer file is missing")
 #: Nulls, empties, ties, repeated rows, a very long word, a very long text, and columns whose names the operators use themselves.
@@ -375,6 +381,38 @@ def test_line_dedup_long_lines_against_brute_force(docs, rows):
     assert hits and all(x not in got[i] for i, x in hits)
 
 
+def test_columns_of_any_name(spark):
+    """Columns that the operators could have used themselves come back as they were."""
+    names = ["__id", "__text", "__new", "__source", "__times", "__key", "line_id", "line_text", "mix_key", "mix_source", "MIX_TIMES"]
+    rows = [(i, f"own words of {chr(97 + i)}\nthe same long line of many words in every one of these documents", "s", 50, *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for out, more in ((line_dedup.line_dedup(df), []), (mixing.mix_sources(df), ["mix_copy"])):
+        assert out.columns == df.columns + more
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    assert sum("the same" in r.text for r in line_dedup.line_dedup(df).collect()) == 1
+
+
+def test_letters_of_all_scripts(spark):
+    """Letters of different scripts have vectors of their own, also where their code points differ by a multiple of small numbers."""
+    letters = language_id.Letters(7)
+    v = letters(np.array([0, *map(ord, "abcщдяあ一丁丂ა")])).astype(int)
+    dots = v @ v.T / language_id.DIMENSIONS
+    assert np.abs(dots - np.eye(len(v))).max() < 0.15
+    words = {"aa": ["mela casa sole mare", "luna cane gatto"], "bb": ["дом солнце море луна", "кот собака окно"], "cc": ["春眠不覚暁", "処処聞啼鳥"]}
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in words.items() for t in v)], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(df)
+    assert all(r.lang_pred == df.filter(f"doc_id = {r.did}").first().lang for r in model.predict(df).collect())
+
+
+def test_fingerprints_of_runs_and_short_texts(spark):
+    """A passage without spaces is found at any offset, and most of a short text is still alike after its end has changed."""
+    rng = np.random.default_rng(4)
+    run = "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 5000, 300))
+    df = spark.createDataFrame([(1, run), (2, "x" * 7 + run[3:]), (3, "a few words that make a short text only"), (4, "quite another line, yet nothing alike")], "doc_id long, text string")
+    got = {r.doc_id: r for r in winnowing.fingerprints(df).collect()}
+    assert got[1].near_next > 0.9 and got[3].near_edited > 0.2 and got[3].near_next < 0.2
+
+
 def test_mixing(docs, rows, edge):
     total = collections.Counter()
     for r in rows.values():
@@ -394,7 +432,8 @@ def test_mixing(docs, rows, edge):
 
 
 def winnow_brute(text):
-    tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)
+    runs = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    tokens = [t for r in runs for t in ([r] if len(text) >= 120 and len(r) <= 16 else r)]
     if not tokens:
         return set()
     grams = [tuple(tokens)] if len(tokens) < 5 else [tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4)]

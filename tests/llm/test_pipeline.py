@@ -11,7 +11,7 @@ import corpus_pipeline
 from terrabag.llm import language_id, line_dedup
 from terrabag.llm.common import materialize
 
-from .test_operators import DATA, VOCAB, near_brute
+from .test_operators import COLUMNS, DATA, EDGE, VOCAB, near_brute
 
 pytestmark = pytest.mark.skipif(not (os.path.isdir(DATA) and os.path.exists(VOCAB)), reason="test tables or tokenizer are missing")
 
@@ -49,3 +49,16 @@ def test_stages(spark):
     packed = stages["pack"](spark, docs, DATA).collect()
     assert collections.Counter(r.doc_id for r in packed if r.start == 0) == times
     assert all(r.offset + r.length <= 4096 for r in packed)
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls, empties, repeated rows, clashing names and empty tables in every stage."""
+    docs = spark.createDataFrame(EDGE, COLUMNS)
+    kept = {"language_id": {"5", "6", "7", "8"}, "line_dedup": {"None", "3", "4", "5", "6", "7", "8", "9"}, "near_dedup": {"None", "3", "4", "5", "7", "8", "9"}}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        if name != "pack":
+            assert out.columns == docs.columns
+        ids = {str(r.doc_id) for r in out.collect()}
+        assert ids == kept[name] if name in kept else ids <= {str(r[0]) for r in EDGE}
+        assert stage(spark, docs.limit(0), DATA).isEmpty()
