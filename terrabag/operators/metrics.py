@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import correlation, rank_average
+from .stats import correlation, rank_average, running_sums
 
 TINY = 1e-10
 
@@ -73,6 +73,8 @@ def metrics(quads: DataFrame) -> DataFrame:
 def by_score(scored: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives of each distinct score, with running sums from the largest score on."""
     g = scored.groupBy(*partition, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    if not partition:
+        return running_sums(g, [F.desc("score")], ["pos", "neg"]).withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
     w = Window.partitionBy(*partition).orderBy(F.desc("score"))
     return g.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
 
@@ -102,7 +104,12 @@ def roc_curve(scored: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks."""
-    return df.select(rank_average(a).alias("ra"), rank_average(b).alias("rb")).agg(correlation("ra", "rb").alias("spearman"))
+    t = df.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    for c in ("a", "b"):
+        # Ranks come from distinct values and their counts, which are summed range by range.
+        ranks = running_sums(t.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.asc(c)], ["n"])
+        t = t.join(ranks.select(c, (F.col("run_n") - (F.col("n") - 1) / 2.0).alias(f"r{c}")), c)
+    return t.agg(correlation("ra", "rb").alias("spearman"))
 
 
 def quantile_edges(scored: DataFrame, n_bins: int) -> DataFrame:
@@ -155,10 +162,9 @@ def presence_background(scored: DataFrame, top: float = 0.05) -> DataFrame:
 
 def capture_curve(scored: DataFrame, item: str) -> DataFrame:
     """area and captured share of positives when rows are taken from the largest score on, ties by item."""
-    w = Window.orderBy(F.desc("score"), item)
     total = scored.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("p"))
-    r = scored.select(item, F.row_number().over(w).alias("i"), F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
-    return r.crossJoin(F.broadcast(total)).select(item, (F.col("i") / F.col("n")).alias("area"), (F.col("c") / F.col("p")).alias("capture"))
+    r = running_sums(scored.select(item, "score", "label", F.lit(1).alias("one")), [F.desc("score"), F.asc(item)], ["one", "label"])
+    return r.crossJoin(F.broadcast(total)).select(item, (F.col("run_one") / F.col("n")).alias("area"), (F.col("run_label") / F.col("p")).alias("capture"))
 
 
 def capture_gain(scored: DataFrame, areas: Sequence[float]) -> DataFrame:
@@ -196,7 +202,8 @@ def optimal_threshold(scored: DataFrame, criterion: str = "tss") -> DataFrame:
 def cumulative_lift(scored: DataFrame, item: str, fractions: Sequence[float]) -> DataFrame:
     """Mean label of the top max(1, ceil(f n)) rows over the prevalence."""
     total = scored.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("prevalence"))
-    r = scored.select("label", F.row_number().over(Window.orderBy(F.desc("score"), item)).alias("i")).crossJoin(F.broadcast(total))
+    r = running_sums(scored.select(item, "score", "label", F.lit(1).alias("one")), [F.desc("score"), F.asc(item)], ["one"])
+    r = r.select("label", F.col("run_one").alias("i")).crossJoin(F.broadcast(total))
     r = r.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     top = r.filter(F.col("i") <= F.greatest(F.lit(1), F.ceil(F.col("fraction") * F.col("n"))))
     return top.groupBy("fraction").agg((F.avg("label") / F.first("prevalence")).alias("lift"))
@@ -205,7 +212,9 @@ def cumulative_lift(scored: DataFrame, item: str, fractions: Sequence[float]) ->
 def score_agreement(df: DataFrame, item: str, a: str, b: str, top: float = 0.05) -> DataFrame:
     """One row: mean absolute difference, Pearson, Spearman and the overlap of the top max(1, ceil(top n)) rows."""
     n = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * top)).alias("k"))
-    ranked = df.select(item, a, b, F.row_number().over(Window.orderBy(F.desc(a), item)).alias("ia"), F.row_number().over(Window.orderBy(F.desc(b), item)).alias("ib"))
+    ranked = df.select(item, a, b, F.lit(1).alias("one"))
+    for c, name in ((a, "ia"), (b, "ib")):
+        ranked = running_sums(ranked, [F.desc(c), F.asc(item)], ["one"]).withColumnRenamed("run_one", name)
     both = ranked.crossJoin(F.broadcast(n)).agg((F.count_if((F.col("ia") <= F.col("k")) & (F.col("ib") <= F.col("k"))) / F.first("k")).alias("top_overlap"))
     return df.agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), correlation(a, b).alias("pearson")).crossJoin(spearman(df, a, b)).crossJoin(both)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrabag.storage import materialize
+
 
 def _component(i: int) -> Column:
     return F.element_at("features", i + 1)
@@ -102,6 +104,29 @@ def mirror(upper: DataFrame, value: str) -> DataFrame:
     return upper.unionByName(upper.filter("bag_i < bag_j").select(F.col("bag_j").alias("bag_i"), F.col("bag_i").alias("bag_j"), value))
 
 
+#: Rows up to which one task orders them all.
+ONE_TASK = 1_000_000
+
+
+def running_sums(rows: DataFrame, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
+    """rows with run_<value>: the sum of each value from the first row by `order` to the row itself. No two rows have equal places.
+
+    Beyond ONE_TASK rows, ranges of the order are sorted each in a task of its own, and what earlier ranges hold is added from a table of
+    one row a range.
+    """
+    if rows.count() <= ONE_TASK:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *[F.sum(v).over(w).alias(f"run_{v}") for v in values])
+    # Written once: bounds of ranges are sampled anew each time that a plan runs.
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy("__range").agg(*[F.sum(v).alias(v) for v in values])
+    held = held.select("__range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__before_{v}") for v in values])
+    w = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(F.broadcast(held), "__range")
+    return met.select(*rows.columns, *[(F.col(f"__before_{v}") + F.sum(v).over(w)).alias(f"run_{v}") for v in values])
+
+
 def correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation; null where either column is constant."""
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
