@@ -57,6 +57,19 @@ def join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: in
     return first.unionByName(rest.select(*first.columns))
 
 
+def semi_join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: int, salts: int = 64) -> DataFrame:
+    """rows whose key is in stats, which has one row for each key and its number of rows in `weight`; rows are read once.
+
+    Keys with more than HOT_SHARE of the `total` rows, of which there are at most 1 / HOT_SHARE, are dealt over `salts` parts each.
+    """
+    part, many = free("salt", [*rows.columns, key]), free("many", [*rows.columns, key])
+    hot = F.col(weight) > max(1.0, total * HOT_SHARE)
+    asked = stats.select(key, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias(part))
+    flags = F.broadcast(stats.filter(hot).select(key, F.lit(True).alias(many)))
+    dealt = rows.join(flags, key, "left").withColumn(part, F.when(F.col(many), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    return dealt.join(asked, [key, part], "left_semi").select(*rows.columns)
+
+
 def utf8(values: list) -> list[bytes]:
     """Texts as UTF-8."""
     return [x.encode("utf-8") for x in values]

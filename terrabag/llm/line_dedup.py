@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, free, join_hot, materialize, texts
+from .common import NULL_ID, free, join_hot, materialize, semi_join_hot, texts
 
 #: Leading tokens in a leaf's path; share of a general template's tokens that are constant at least.
 DEPTH, CONSTANT = 3, 0.5
@@ -23,9 +23,11 @@ MIN_TOKENS = 1
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(did, tk, pos, line, n, floor, leaf, t1, t2) of every line that isn't blank; t1 and t2 are hashes of the masked line."""
-    rows = docs.select("did", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # The hash of the text is made below the explode, once a text instead of once a line.
+    whole = docs.select("did", F.xxhash64("text").alias("tk"), F.split("text", "\n").alias("parts"))
+    rows = whole.select("did", "tk", F.posexplode("parts").alias("pos", "line"))
     rows = rows.withColumn("line", F.regexp_replace(F.trim("line"), "[0-9]+", "<*>"))
-    rows = rows.filter("line != ''").withColumn("n", F.size(F.split("line", " "))).filter(F.col("n") >= MIN_TOKENS)
+    rows = rows.filter("line != ''").withColumn("n", F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= MIN_TOKENS)
     rows = rows.withColumn("floor", F.when(F.octet_length("line") >= LONG_BYTES, LONG_DOCS).otherwise(MIN_DOCS))
     lead = F.substring_index("line", " ", DEPTH)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))
@@ -39,7 +41,7 @@ def _cuts(lines: DataFrame, exact: DataFrame, leaves: DataFrame, total: int) ->
     show: tokens of a template are as frequent as it is, and what fills its fields is less so.
     """
     t = ["leaf", "t1", "t2"]
-    own = join_hot(lines, leaves, "leaf", "lines", total).groupBy(*t).agg(F.first("n").alias("n"), F.first("line").alias("line"))
+    own = semi_join_hot(lines.select(*t, "n", "line"), leaves, "leaf", "lines", total).groupBy(*t).agg(F.first("n").alias("n"), F.first("line").alias("line"))
     own = materialize(own.join(exact.select(*t, "docs", "first"), t), "leaf-lines")
     tokens = own.select(*t, "n", "docs", "first", F.posexplode(F.split("line", " ")).alias("at", "token"))
     tokens = tokens.select(*t, "n", "docs", "first", "at", F.xxhash64("leaf", "at", "token").alias("w"), F.octet_length("token").alias("bytes"))
