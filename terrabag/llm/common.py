@@ -11,6 +11,8 @@ from terrabag.storage import materialize, shared_dir  # noqa: F401  for the oper
 NULL_ID = -(2**63)
 #: A key is hot when it holds more than this share of the rows. At most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 1 / 2000
+#: Keys of eight bytes that every executor may hold: some 30 MB as a hash table.
+BROADCAST_KEYS = 1_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -58,10 +60,12 @@ def join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: in
 
 
 def semi_join_hot(rows: DataFrame, stats: DataFrame, key: str, weight: str, total: int, salts: int = 64) -> DataFrame:
-    """rows whose key is in stats, which has one row for each key and its number of rows in `weight`; rows are read once.
+    """rows whose key is in stats, which has one row for each key, a long, and its number of rows in `weight`; rows are read once.
 
-    Keys with more than HOT_SHARE of the `total` rows, of which there are at most 1 / HOT_SHARE, are dealt over `salts` parts each.
+    Up to BROADCAST_KEYS keys are broadcast, after they have been counted. Beyond, both sides are shuffled; keys with more than HOT_SHARE of the `total` rows, of which there are at most 1 / HOT_SHARE, are dealt over `salts` parts each.
     """
+    if stats.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(stats.select(key)), key, "left_semi")
     part, many = free("salt", [*rows.columns, key]), free("many", [*rows.columns, key])
     hot = F.col(weight) > max(1.0, total * HOT_SHARE)
     asked = stats.select(key, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias(part))

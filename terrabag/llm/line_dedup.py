@@ -27,7 +27,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     whole = docs.select("did", F.xxhash64("text").alias("tk"), F.split("text", "\n").alias("parts"))
     rows = whole.select("did", "tk", F.posexplode("parts").alias("pos", "line"))
     rows = rows.withColumn("line", F.regexp_replace(F.trim("line"), "[0-9]+", "<*>"))
-    rows = rows.filter("line != ''").withColumn("n", F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= MIN_TOKENS)
+    rows = rows.filter("line != ''").withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= MIN_TOKENS)
     rows = rows.withColumn("floor", F.when(F.octet_length("line") >= LONG_BYTES, LONG_DOCS).otherwise(MIN_DOCS))
     lead = F.substring_index("line", " ", DEPTH)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))

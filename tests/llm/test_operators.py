@@ -381,6 +381,19 @@ def test_line_dedup_long_lines_against_brute_force(docs, rows):
     assert hits and all(x not in got[i] for i, x in hits)
 
 
+def test_semi_join_hot(spark, monkeypatch):
+    """Hot and other keys, broadcast or dealt over salts."""
+    from terrabag.llm import common
+
+    rows = spark.createDataFrame([(7 if i % 2 else i, i) for i in range(400)], "k long, v long")
+    stats = rows.groupBy("k").count().filter("k % 3 = 1")
+    want = sorted(i for i in range(400) if (7 if i % 2 else i) % 3 == 1)
+    for bound in (common.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", bound)
+        got = common.semi_join_hot(rows, stats, "k", "count", 4000)
+        assert got.columns == ["k", "v"] and sorted(r.v for r in got.collect()) == want
+
+
 def test_columns_of_any_name(spark):
     """Columns that the operators could have used themselves come back as they were."""
     names = ["__id", "__text", "__new", "__source", "__times", "__key", "line_id", "line_text", "mix_key", "mix_source", "MIX_TIMES"]
