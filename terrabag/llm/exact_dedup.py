@@ -88,7 +88,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts form one group. The row with
     the largest doc_id stays; a null doc_id is the smallest and comes back as null. Rows that repeat a doc_id are all returned, and
-    those with the largest id of their group are all kept. An empty table gives an empty result. Other columns are ignored.
+    those with the largest id of their group are all kept. Very long texts are compared whole. An empty table gives an
+    empty result. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     norm = texts(docs, id_col, text_col).select("did", ascii_lower("text").alias("norm"))

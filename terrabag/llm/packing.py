@@ -198,8 +198,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     A document is its ids by the tokenizer file and then END; longer ones than CAPACITY are cut every CAPACITY ids. padded_length is
     the sequence's tokens if they are a power of two and CAPACITY otherwise. A null text counts as empty and gives one piece of one
-    token. A null doc_id comes back as null; repeated rows are packed each; an empty table gives an empty result; other columns are
-    ignored. The driver holds the class histogram and the plan, which don't grow with the data.
+    token. A null doc_id comes back as null; repeated rows are packed each; an empty table gives an empty result; other columns,
+    whatever their names, are ignored. Very long texts are cut into as many pieces as they need. The driver holds the class histogram and the plan, which don't grow with the data.
     """
     classes = CAPACITY // STEP
     pieces = texts(docs, id_col, text_col).mapInArrow(_cutter(tokenizer), "did long, start long, length long, ids_crc32 long, doc_tokens long")

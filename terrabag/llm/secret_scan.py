@@ -127,8 +127,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: doc_id, the number of spans of each kind (n_<kind>), base_sha256 and spans.
 
     spans lists kind:start:end of every find, in code points with the end exclusive, by start and then kind; base_sha256 is the
-    SHA-256 of that list of the kinds assign, access and hex alone. Null texts count as empty; empty texts have empty lists; repeated rows
-    give repeated rows; an empty table gives an empty result; other columns are ignored.
+    SHA-256 of that list of the kinds assign, access and hex alone. Null texts count as empty; empty texts have empty lists; very long texts
+    are scanned whole; finds that start at one place are ordered by kind; repeated rows give repeated rows; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     schema = "did long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     found = texts(docs, id_col, text_col).mapInArrow(_scanner, schema)

@@ -131,8 +131,9 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """One row a document: doc_id, n_words, n_tokens.
 
     Words are runs of letters and marks, single digits or runs of other visible characters of the lower-cased text; each is cut greedily
-    into the longest pieces of the vocabulary file. Null and empty texts have 0 of either; repeated rows are counted each; an empty
-    table gives an empty result; other columns are ignored.
+    into the longest pieces of the vocabulary file. Null and empty texts have 0 of either; repeated rows are counted each; very long
+    texts are counted whole; there are no ties, as the longest piece is one; an empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     found = texts(docs, id_col, text_col).mapInArrow(_counter(vocabulary), "did long, n_words long, n_tokens long")
     return found.select(public_id("did").alias("doc_id"), "n_words", "n_tokens")
