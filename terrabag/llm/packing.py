@@ -1,7 +1,8 @@
 """Packing token sequences by cutting-stock column generation.
 
-Lengths fall into classes of STEP tokens. A linear program over patterns (multisets of classes that fit one sequence) covers the length
-histogram; new patterns come from an unbounded knapsack over the program's duals. Rounded-down pattern counts and a first-fit pass over
+Lengths fall into classes of STEP tokens; short lengths whose rounding would cost much are classes of their own. A linear program over patterns
+(multisets of classes that fit one sequence) covers the length histogram; new patterns come from an unbounded knapsack over the
+program's duals, whose items are chunks of equal pieces rounded up to STEP tokens together. Rounded-down pattern counts and a first-fit pass over
 the few pieces that rounding leaves give whole patterns, and pieces take their places by their rank within their class.
 """
 
@@ -19,8 +20,14 @@ from pyspark.sql import functions as F
 from .common import materialize, public_id, texts
 from .token_count import byte_letters
 
-#: Tokens of a sequence, and tokens of one length class.
-CAPACITY, STEP = 4096, 16
+#: Tokens of a sequence, tokens of one length class, and tokens from which on lengths are rounded up to classes.
+CAPACITY, STEP, FINE = 4096, 16, 256
+#: Tokens of a piece of each class.
+SIZES = np.concatenate([np.arange(1, FINE), np.arange(FINE, CAPACITY + 1, STEP)])
+#: A short length is rounded up too if its padding is at most this share of all tokens.
+SPARE = 1e-4
+#: Equal pieces of a chunk at most, but for chunks that fill a sequence.
+CHUNK = 16
 #: Closes every document.
 END = 2
 #: Pieces ranked together.
@@ -115,25 +122,53 @@ def best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
-def plan_patterns(demand: np.ndarray, room: int, steps: int = 2000) -> list[tuple[np.ndarray, int]]:
-    """(pattern, times): together the patterns hold exactly demand[c] pieces of class c + 1."""
+def merged_classes(held: np.ndarray) -> np.ndarray:
+    """The class, from 1 on, that pieces of each class are packed as: their own, or the next multiple of STEP for rare short ones."""
+    own = np.arange(1, len(held) + 1)
+    up = -(-SIZES // STEP) * STEP
+    cost = held * (up - SIZES)
+    return np.where(cost > SPARE * (held @ SIZES), own, np.searchsorted(SIZES, up) + 1)
+
+
+def chunk_items(sizes: np.ndarray, room: int, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class position, pieces, units) of every chunk: some equal pieces, rounded up to units together."""
+    most = room // sizes
+    rows = [(i, k, -(-int(k * sizes[i]) // unit)) for i in range(len(sizes)) for k in {*range(1, min(CHUNK, int(most[i])) + 1), int(most[i])}]
+    at, many, units = np.array(rows, dtype=np.int64).T
+    fits = units <= room // unit
+    return at[fits], many[fits], units[fits]
+
+
+def plan_patterns(demand: np.ndarray, room: int, sizes: np.ndarray | None = None, unit: int = 1, steps: int = 3000) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times): together the patterns hold exactly demand[c] pieces of class c, of size sizes[c] (c + 1 by default) each.
+
+    The program is solved to 1e-4 of its optimum over such patterns, or for `steps` columns; what it leaves open is filled in first fit,
+    so the plan is whole in any case.
+    """
+    sizes = np.arange(1, len(demand) + 1) if sizes is None else sizes
     used = np.flatnonzero(demand)
     if not len(used):
         return []
-    m = len(used)
-    base = np.diag((room // (used + 1)).astype(float))
+    m, own = len(used), sizes[used]
+    at, many, units = chunk_items(own, room, unit)
+    base = np.diag((room // own).astype(float))
     inverse, need = np.linalg.inv(base), demand[used].astype(float)
     for step in range(steps):
         if step % 40 == 39:
             inverse = np.linalg.inv(base)
-        duals = np.zeros(len(demand))
-        duals[used] = inverse.sum(axis=0)
-        value, pattern = best_pattern(duals, room)
-        if value <= 1 + 1e-7:
+        worth = inverse.sum(axis=0)[at] * many
+        # The best chunk of each number of units: of repeated places the last one written stays.
+        order = np.argsort(worth, kind="stable")
+        chosen = np.full(room // unit + 1, -1)
+        chosen[units[order]] = order
+        value, taken = best_pattern(np.where(chosen >= 0, worth[chosen], 0.0)[1:], room // unit)
+        if value <= 1 + 1e-4:
             break
-        column = pattern[used].astype(float)
+        column = np.zeros(m)
+        for u in np.flatnonzero(taken):
+            column[at[chosen[u + 1]]] += taken[u] * many[chosen[u + 1]]
         x, move = inverse @ need, inverse @ column
-        ratio = np.where(move > 1e-9, np.maximum(x, 0) / np.where(move > 1e-9, move, 1), np.inf)
+        ratio = np.where(move > 1e-7, np.maximum(x, 0) / np.where(move > 1e-7, move, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
@@ -156,9 +191,9 @@ def plan_patterns(demand: np.ndarray, room: int, steps: int = 2000) -> list[tupl
     while left.any():
         pattern, free = np.zeros(len(demand), dtype=np.int64), room
         for c in range(len(demand) - 1, -1, -1):
-            k = min(int(left[c]), free // (c + 1))
+            k = min(int(left[c]), free // int(sizes[c]))
             if k:
-                pattern[c], free = k, free - k * (c + 1)
+                pattern[c], free = k, free - k * int(sizes[c])
         held = pattern > 0
         times = int((left[held] // pattern[held]).min())
         plan.append((pattern, times))
@@ -201,13 +236,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     token. A null doc_id comes back as null; repeated rows are packed each; an empty table gives an empty result; other columns,
     whatever their names, are ignored. Very long texts are cut into as many pieces as they need. The driver holds the class histogram and the plan, which don't grow with the data.
     """
-    classes = CAPACITY // STEP
+    classes = len(SIZES)
     pieces = texts(docs, id_col, text_col).mapInArrow(_cutter(tokenizer), "did long, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = materialize(pieces.withColumn("cls", F.ceil(F.col("length") / STEP).cast("long")), "pieces")
-    demand = np.zeros(classes, dtype=np.int64)
+    cls = F.when(F.col("length") < FINE, F.col("length")).otherwise(FINE + F.ceil((F.col("length") - FINE) / STEP))
+    pieces = materialize(pieces.withColumn("cls", cls.cast("long")), "pieces")
+    held = np.zeros(classes, dtype=np.int64)
     for r in pieces.groupBy("cls").count().collect():  # one row a class
-        demand[r.cls - 1] = r["count"]
-    places = _places(plan_patterns(demand, classes), classes)
+        held[r.cls - 1] = r["count"]
+    merged = merged_classes(held)
+    pieces = pieces.withColumn("cls", F.element_at(F.array(*[F.lit(int(c)) for c in merged]), F.col("cls").cast("int")).cast("long"))
+    demand = np.bincount(merged - 1, weights=held, minlength=classes).astype(np.int64)
+    places = _places(plan_patterns(demand, CAPACITY, SIZES, STEP), classes)
 
     chunks = [max(1, -(-int(n) // PER_CHUNK)) for n in demand]
     many = F.element_at(F.array(*[F.lit(n) for n in chunks]), F.col("cls").cast("int"))

@@ -297,6 +297,29 @@ def test_plan_covers_demand():
     assert packing.plan_patterns(np.zeros(48, int), 48) == []
 
 
+def test_short_pieces_fill_their_sequences():
+    """Short pieces leave next to no padding, and no sequence gets too much."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for lengths in (np.full(50_000, 3), np.full(9_000, 65), rng.integers(1, 41, 20_000), rng.integers(1, 400, 5_000), np.concatenate([rng.integers(1, 4097, 300), np.full(9_000, 65), [255] * 17, [256] * 33, [4096] * 2])):
+        cls = np.where(lengths < packing.FINE, lengths, packing.FINE + -(-(lengths - packing.FINE) // packing.STEP))
+        assert (packing.SIZES[cls - 1] >= lengths).all() and (packing.SIZES[cls - 1] < lengths + packing.STEP).all()
+        cls = packing.merged_classes(np.bincount(cls - 1, minlength=len(packing.SIZES)))[cls - 1]
+        assert (packing.SIZES[cls - 1] >= lengths).all()
+        demand = np.bincount(cls - 1, minlength=len(packing.SIZES))
+        plan = packing.plan_patterns(demand, packing.CAPACITY, packing.SIZES, packing.STEP)
+        assert np.array_equal(sum(p * n for p, n in plan), demand)
+        rank = np.empty(len(cls), dtype=np.int64)
+        for k in np.unique(cls):
+            rank[cls == k] = np.arange(demand[k - 1])
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (lengths, cls, rank)], ["length", "cls", "rank"])
+        (out,) = packing._placer(packing._places(plan, len(packing.SIZES)))(iter([batch]))
+        full = np.bincount(out.column("sequence_id").to_numpy(), weights=lengths)
+        assert full.min() > 0 and full.max() <= packing.CAPACITY and len(full) == sum(n for _, n in plan)
+        assert len(full) <= lengths.sum() / packing.CAPACITY * 1.03 + 3
+
+
 # ---- language ID, line dedup, mixing, fingerprints
 
 
