@@ -323,6 +323,46 @@ def test_short_pieces_fill_their_sequences():
 # ---- language ID, line dedup, mixing, fingerprints
 
 
+def profile_brute(text):
+    """The sum over a text's trigrams of the product of its letters' vectors, each rolled by its place from the end."""
+    import unicodedata
+
+    letters, gaps = [0], True
+    for c in text + " ":
+        letter = unicodedata.category(c)[0] == "L"
+        if letter or not gaps:
+            letters.append(ord(c.lower()[0]) if letter else 0)
+        gaps = not letter
+    if len(letters) < 3:
+        return None
+    vector = {c: np.unpackbits(np.frombuffer(hashlib.shake_256(f"7:{c}".encode()).digest(language_id.DIMENSIONS // 8), np.uint8)).astype(float) * 2 - 1 for c in set(letters)}
+    total = sum(np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c] for a, b, c in zip(letters, letters[1:], letters[2:]))
+    return total / np.linalg.norm(total)
+
+
+def test_language_id_against_brute_force(docs, rows):
+    pick = {i: r for i, r in rows.items() if len(r.text or "") < 3000 and i % 2}
+    got = {r.doc_id: r for r in language_id.language_id(docs.filter("length(coalesce(text, '')) < 3000 and doc_id % 2 = 1")).collect()}
+    assert set(got) == set(pick)
+    profile = {i: profile_brute(r.text or "") for i, r in pick.items()}
+    learned = collections.defaultdict(list)
+    for i, r in pick.items():
+        if zlib.crc32(str(i).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            learned[r.lang].append(profile[i] if profile[i] is not None else np.zeros(language_id.DIMENSIONS))
+    langs = sorted(learned)
+    means = np.array([np.mean(learned[k], axis=0) for k in langs])
+    centre = means.mean(axis=0)
+    prototypes = means - centre
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    for i, v in profile.items():
+        if v is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cosine = prototypes @ (v - centre) / np.linalg.norm(v - centre)
+        assert got[i].score == pytest.approx((cosine.max() + 1) / 2, abs=1e-4)
+        assert cosine[langs.index(got[i].lang_pred)] >= cosine.max() - 1e-4
+
+
 def test_language_id(docs, rows, edge):
     got = language_id.language_id(docs).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
