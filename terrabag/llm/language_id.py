@@ -23,6 +23,8 @@ DIMENSIONS = 1024
 #: Bits of a letter's code; 0 stands for anything that is no letter.
 CODE_BITS = 21
 MASK = (1 << CODE_BITS) - 1
+#: Texts, and about their letters, that are bundled together; trigrams whose vectors are held at a time.
+GROUP, GROUP_LETTERS, HELD = 64, 1 << 20, 4096
 #: Partial sums of a language that are added up apart before the last step.
 SPREAD = 32
 UNKNOWN = "und"
@@ -33,7 +35,7 @@ def letter_codes() -> np.ndarray:
     """Code of each code point: 0 if it is no letter, else that of its lower-case letter."""
     global _CODES
     if _CODES is None:
-        codes = np.zeros(0x110000, dtype=np.int64)
+        codes = np.zeros(0x110000, dtype=np.int32)
         for i in range(0x110000):
             c = chr(i)
             if unicodedata.category(c)[0] == "L":
@@ -74,23 +76,44 @@ class Encoder:
 
     def bundle(self, grams: list[np.ndarray]) -> np.ndarray:
         """One unit vector for each list of trigram codes; zeros for an empty one."""
-        sizes = [len(g) for g in grams]
         out = np.zeros((len(grams), DIMENSIONS), dtype=np.float32)
-        if not sum(sizes):
-            return out
-        values, where = np.unique(np.concatenate(grams), return_inverse=True)
-        count = np.bincount(np.repeat(np.arange(len(grams)), sizes) * len(values) + where, minlength=len(grams) * len(values)).reshape(len(grams), -1).astype(np.float32)
-        for i in range(0, len(values), 8192):
-            v = values[i : i + 8192]
-            bound = self.letters(v & MASK) * np.roll(self.letters((v >> CODE_BITS) & MASK), 1, axis=1) * np.roll(self.letters(v >> 2 * CODE_BITS), 2, axis=1)
-            out += count[:, i : i + 8192] @ bound.astype(np.float32)
+        if len(grams) == 1:  # a long text, in parts
+            for i in range(0, len(grams[0]), GROUP_LETTERS):
+                self._add(out, [grams[0][i : i + GROUP_LETTERS]])
+        else:
+            self._add(out, grams)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
-    def groups(self, texts: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(position, trigram lists) of texts, some at a time."""
-        for i in range(0, len(texts), 64):
-            yield i, [self.trigrams(t) for t in texts[i : i + 64]]
+    def _add(self, out: np.ndarray, grams: list[np.ndarray]) -> None:
+        sizes = [len(g) for g in grams]
+        if not sum(sizes):
+            return
+        codes = np.concatenate(grams)
+        order = np.argsort(codes)
+        codes, owner = codes[order], np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
+        new = np.concatenate([[True], codes[1:] != codes[:-1]])
+        values, where = codes[new], np.cumsum(new) - 1
+        for i in range(0, len(values), HELD):
+            v = values[i : i + HELD]
+            here = slice(*np.searchsorted(where, [i, i + len(v)]))
+            count = np.bincount(owner[here] * len(v) + where[here] - i, minlength=len(grams) * len(v)).reshape(len(grams), -1).astype(np.float32)
+            bound = self.letters(v & MASK) * np.roll(self.letters((v >> CODE_BITS) & MASK), 1, axis=1) * np.roll(self.letters(v >> 2 * CODE_BITS), 2, axis=1)
+            out += count @ bound.astype(np.float32)
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(position, trigram lists) of texts, some at a time; a null text counts as empty."""
+        start, grams, letters = 0, [], 0
+        for i in range(0, len(texts), GROUP):
+            for text in texts.slice(i, GROUP).to_pylist():
+                own = self.trigrams(text or "")
+                if grams and (len(grams) == GROUP or letters + len(own) > GROUP_LETTERS):
+                    yield start, grams
+                    start, grams, letters = start + len(grams), [], 0
+                grams.append(own)
+                letters += len(own)
+        if grams:
+            yield start, grams
 
 
 def _summer(seed: int):
@@ -98,8 +121,7 @@ def _summer(seed: int):
         encoder, total, rows = Encoder(seed), {}, {}
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
-            texts = b.column("text").to_pylist()
-            for i, grams in encoder.groups(texts):
+            for i, grams in encoder.groups(b.column("text")):
                 vectors, own = encoder.bundle(grams), langs[i : i + len(grams)]
                 for lang in set(own):
                     total[lang] = total.get(lang, 0) + vectors[own == lang].sum(axis=0, dtype=np.float64)
@@ -133,10 +155,10 @@ class LanguageModel:
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = letter_codes()
             for b in batches:
-                text = [t or "" for t in b.column(at).to_pylist()]
-                one = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text, pa.string())], ["did", "text"])
+                one = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(at)], ["did", "text"])
                 (found,) = predict(iter([one]))
-                letters = np.array([np.count_nonzero(codes[np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)]) for t in text])
+                texts = (t or "" for i in range(0, b.num_rows, GROUP) for t in b.column(at).slice(i, GROUP).to_pylist())
+                letters = np.array([np.count_nonzero(codes[np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)]) for t in texts])
                 score, known = found.column("score").to_numpy(), np.array(found.column("lang_pred").to_pylist(), dtype=object) != UNKNOWN
                 yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array(known & ((letters < min_letters) | (score >= min_score))))
 
@@ -149,7 +171,7 @@ class LanguageModel:
             encoder = Encoder(seed)
             for b in batches:
                 names, scores = [], []
-                for _, grams in encoder.groups(b.column(1).to_pylist()):
+                for _, grams in encoder.groups(b.column(1)):
                     vectors = encoder.bundle(grams)
                     centred = vectors - mean
                     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
