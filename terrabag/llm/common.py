@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabag.storage import materialize, shared_dir  # noqa: F401  for the operators
@@ -14,6 +14,11 @@ HOT_SHARE = 1 / 2000
 #: Keys of eight bytes that every executor may hold: some 30 MB as a hash table.
 BROADCAST_KEYS = 1_000_000
 
+#: Rows of whole texts that a Python worker is sent at a time. Spark's own default counts small rows: at 3 kB a text its batches take
+#: 30 MB, several times over, in the JVM's buffers and in each worker.
+BATCH_ROWS, DEFAULT_ROWS = 1_000, 10_000
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -26,8 +31,15 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send BATCH_ROWS rows to Python workers at a time, unless it has a setting of its own."""
+    if int(spark.conf.get(ROWS_KEY)) == DEFAULT_ROWS:
+        spark.conf.set(ROWS_KEY, BATCH_ROWS)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, text) of every row: null ids become NULL_ID, null texts become empty. Other columns are not read."""
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 

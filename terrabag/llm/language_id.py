@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, public_id
+from .common import public_id, small_batches, texts
 
 #: Components of a vector.
 DIMENSIONS = 1024
@@ -145,11 +145,12 @@ class LanguageModel:
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(did, lang_pred, score) of every row; the score is the cosine mapped to 0..1; UNKNOWN with score 0 for texts without letters."""
-        body = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+        body = texts(docs, id_col, text_col)
         return body.mapInArrow(self._predictor(), "did long, lang_pred string, score double")
 
     def keep(self, docs: DataFrame, min_score: float, min_letters: int, text_col: str = "text") -> DataFrame:
         """The rows of docs whose text has a language: one with letters and, from min_letters on, a score of min_score or more."""
+        small_batches(docs.sparkSession)
         names, predict, at = docs.columns, self._predictor(), docs.columns.index(text_col)
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +195,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     Each partition sends one vector a language, which are summed in two steps; the driver gets one vector a language. Ties go to the
     language that comes first by name. Without labelled rows every prediction is UNKNOWN.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null")
     part = rows.mapInArrow(_summer(seed), "lang string, sum binary, n long")
     part = part.withColumn("salt", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(SPREAD)))
