@@ -247,7 +247,9 @@ def links_in_blocks(bodies: DataFrame, left: DataFrame, right: DataFrame | None,
     texts_ = bodies.select(F.col("cid").alias("x"), "text")
     one = materialize(_chunked(left, sizes), "blocks")
     two = one if right is None else materialize(_chunked(right, sizes), "blocks")
-    met = materialize(one.select("g", F.col("rows").alias("rows_a"), F.col("chunks").alias("a")).join(two.select("g", F.col("rows").alias("rows_b"), F.col("chunks").alias("b")), "g").filter("a * b > 1 or rows_a * rows_b > 1"), "blocks")
+    met = one.select("g", F.col("rows").alias("rows_a"), F.col("chunks").alias("a")).join(two.select("g", F.col("rows").alias("rows_b"), F.col("chunks").alias("b")), "g")
+    # A row alone has nothing to meet within its group, but one row of each side is a pair.
+    met = materialize(met.filter("rows_a > 1") if right is None else met, "blocks")
 
     def dealt(rows: DataFrame, weight: str, own: str, other: str) -> DataFrame:
         placed = join_hot(rows, met, "g", weight, max(1, rows.count())).join(texts_, "x")

@@ -123,6 +123,16 @@ def test_common_counts():
         assert near_dedup.common_counts(one, two).tolist() == want
 
 
+def test_one_node_of_each_side_is_a_pair(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    bodies = spark.createDataFrame([(1, 36, text), (2, 37, text + " more"), (3, 2, "quite other words than those two")], "cid long, n long, text string")
+    side = lambda *rows: spark.createDataFrame(rows, "g long, x long")
+    got = near_dedup.links_in_blocks(bodies, side((7, 1), (8, 3)), side((7, 2), (8, 1)), 85, 5).collect()
+    assert [(r.u, r.v) for r in got] == [(1, 2)]
+    assert near_dedup.links_in_blocks(bodies, side((7, 1), (8, 2)), None, 85, 5).isEmpty()
+    assert [{r.u, r.v} for r in near_dedup.links_in_blocks(bodies, side((7, 1), (7, 2), (8, 3)), None, 85, 5).collect()] == [{1, 2}]
+
+
 def test_near_dedup_edges(edge):
     got = near_dedup.near_dedup(edge).collect()
     assert len(got) == len(EDGE)
