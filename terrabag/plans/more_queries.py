@@ -78,7 +78,7 @@ def bags_from_table(spark, d):
 def matched_background_bags(spark, d):
     taken = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.floor(F.col("l_partkey") / 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"))
     sizes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("bag_id"), (F.col("s_suppkey") % 9 + 3).alias("n")).filter("bag_id <= 10")
-    return builders.matched_background(grid(spark, d), taken, sizes, 10, 3, exact=True).select("bag_id", "cell_id", "row", "col")
+    return builders.matched_background(grid(spark, d), taken, sizes, sizes.count(), 3, exact=True).select("bag_id", "cell_id", "row", "col")
 
 
 @query("WITH " + GRID + ', z AS (SELECT "row", col, CASE WHEN b0 = 7 THEN 7 ELSE (b0 - 25) / 14 END AS z0, (b1 - 1400) / 300 AS z1 FROM grid) SELECT "row", col, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM z')

@@ -39,6 +39,25 @@ def test_query(spark, name):
     assert _rows(got) == _rows(want)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_matched_background_bags(spark, sf):
+    """As many bags as sites, of their sizes, each the nearest free cells around one of the random anchors."""
+    import hashlib
+
+    d = DATA.replace("sf0.001", sf)
+    read = lambda q: duckdb.sql(q).fetchall()
+    taken = {divmod(k, 40) for (k,) in read(f"SELECT DISTINCT l_partkey FROM '{d}/lineitem.parquet' WHERE l_quantity >= 49")}
+    free = [divmod(k, 40) for (k,) in read(f"SELECT p_partkey FROM '{d}/part.parquet' WHERE p_size % 7 <> 0") if divmod(k, 40) not in taken]
+    key = lambda *parts: hashlib.md5(":".join(map(str, (3, *parts))).encode()).hexdigest()
+    sites = sorted((key(b), b) for (b,) in read(f"SELECT s_suppkey FROM '{d}/supplier.parquet' WHERE s_suppkey <= 10"))
+    want = set()
+    for i, ((_, b), (r, c)) in enumerate(zip(sites, sorted(free, key=lambda p: (key(*p), p)), strict=False)):
+        near = sorted(free, key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p))[: b % 9 + 3]
+        want |= {(f"background-{i:05d}", j + 1, *p) for j, p in enumerate(near)}
+    got = [tuple(r) for r in catalogue.queries()["matched_background_bags"](spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[0] for r in got}) == len(sites)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
