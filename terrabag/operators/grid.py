@@ -57,14 +57,24 @@ def focal_cells(centres: DataFrame, grid: DataFrame, size: int, height: int | No
     if height is not None:
         r, k = reflect(r, height), reflect(k, width)
     c = c.select(F.col("row").alias("crow"), F.col("col").alias("ccol"), r.cast("int").alias("row"), k.cast("int").alias("col"))
-    return c.join(grid.select("row", "col", "bands", "valid"), ["row", "col"]).select(F.col("crow").alias("row"), F.col("ccol").alias("col"), "bands", "valid")
+    # Neither side is bounded, and a grid's files are so small for its cells that Spark would broadcast it.
+    return c.join(grid.select("row", "col", "bands", "valid").hint("merge"), ["row", "col"]).select(F.col("crow").alias("row"), F.col("ccol").alias("col"), "bands", "valid")
 
 
 def focal_mean(grid: DataFrame, value: str, size: int, height: int, width: int) -> DataFrame:
-    """Mean of a value over the mirrored window of every valid cell; null without valid cells."""
-    # A cell sends its value to the centres that see it; map-side sums make this cheaper than collecting windows.
-    seen = focal_cells(grid.select("row", "col"), grid.withColumn("bands", F.array(value)), size, height, width)
-    return seen.groupBy("row", "col").agg(F.avg(F.when(F.col("valid"), F.element_at("bands", 1))).alias("focal"))
+    """Mean of a value over the mirrored window of every cell, valid cells counting only; null without valid cells."""
+    # A cell sends its value to the centres that see it, itself or mirrored; map-side sums leave about one row a centre to shuffle.
+    span = F.array(*[F.lit(i) for i in range(-(size // 2), size - size // 2)])
+
+    def seen_from(c: str, n: int) -> Column:
+        images = F.array(F.col(c), F.when(F.col(c) > 0, -F.col(c)), F.when(F.col(c) < n - 1, 2 * (n - 1) - F.col(c)))
+        centres = F.flatten(F.transform(images, lambda u: F.transform(span, lambda i: u - i)))
+        return F.explode(F.filter(centres, lambda r: (r >= 0) & (r < n))).alias(c)
+
+    sent = grid.select("row", "col", F.when(F.col("valid"), F.col(value)).alias("__v"))
+    sent = sent.select(seen_from("row", height), "col", "__v").select("row", seen_from("col", width), "__v")
+    means = sent.groupBy("row", "col").agg(F.avg("__v").alias("focal"))
+    return means.join(grid.select("row", "col").hint("merge"), ["row", "col"], "left_semi")
 
 
 def strided_bags(grid: DataFrame, stride: int, size: int, min_cells: int = 3) -> DataFrame:

@@ -161,6 +161,24 @@ def test_focal_window_mirrors(spark):
     assert all(math.isclose(got[r, c], pad[r : r + 3, c : c + 3].mean()) for r in range(h) for c in range(w))
 
 
+@pytest.mark.parametrize("size", [3, 4, 5])
+def test_focal_mean_broadcasts_no_cells(spark, size, tmp_path):
+    """Cells missing or invalid, against windows of focal_cells; however small the grid's files are, it may have many cells."""
+    rows = [(r, c, [float(r * 7 % 5 + c)], (r + c) % 4 > 0) for r in range(6) for c in range(7) if (r, c) not in ((0, 3), (4, 4))]
+    spark.createDataFrame(rows, "row int, col int, bands array<double>, valid boolean").write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g")).withColumn("v", F.element_at("bands", 1))
+    got = grid.focal_mean(g, "v", size, 6, 7)
+    seen = grid.focal_cells(g, g, size, 6, 7)
+    for df in (got, seen):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    want = {}
+    for r in seen.collect():
+        want.setdefault((r.row, r.col), []).extend(r.bands if r.valid else [])
+    held = {(r.row, r.col): r.focal for r in got.collect()}
+    assert held.keys() == want.keys() and len(held) == len(rows)
+    assert all(math.isclose(held[p], np.mean(v)) if v else held[p] is None for p, v in want.items())
+
+
 def test_polygon_covers_valid_cells(spark):
     g = spark.createDataFrame([(r, c, c + 0.5, 6 - r - 0.5, [1.0], not (r == 2 and c == 2)) for r in range(6) for c in range(6)], "row int, col int, x double, y double, bands array<double>, valid boolean")
     box = spark.createDataFrame([(1, [(1.0, 2.0), (4.0, 2.0), (4.0, 5.0), (1.0, 5.0), (1.0, 2.0)])], "site_id int, ring array<struct<x:double,y:double>>")
