@@ -95,6 +95,16 @@ def test_exact_gram_is_symmetric_and_positive(cells):
     assert np.allclose(full, want) and np.linalg.eigvalsh(full).min() > -1e-9
 
 
+def test_distances_of_embeddings_meet_in_tiles(spark):
+    v = np.random.default_rng(4).normal(size=(1500, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "bag_id long, embedding array<double>")
+    got = kernels.embedding_distances(df)
+    assert "NestedLoop" not in got._jdf.queryExecution().sparkPlan().toString()
+    held = got.toPandas()
+    assert len(held) == 1500 * 1501 // 2 and (held.bag_i <= held.bag_j).all() and not held.duplicated(["bag_i", "bag_j"]).any()
+    assert np.allclose(held.value, np.linalg.norm(v[held.bag_i] - v[held.bag_j], axis=1), rtol=0, atol=1e-14)
+
+
 def test_embeddings_agree_and_approximate(cells):
     w = kernels.fourier_weights(3, 6, 1.0, 1)
     a = {r.bag_id: r.embedding for r in kernels.embeddings(cells, w).collect()}
