@@ -111,7 +111,9 @@ class PrimalLogistic:
             if 0 < size.n * d <= LOCAL_NUMBERS:
                 held = data.toArrow()
                 return self.fit_arrays(held.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(size.n, d), held.column(1).to_numpy())
-            return self._newton(d, lambda beta: self._distributed(data, features, beta))
+            # Every partition sends a Hessian at each step, so they are no more than the cores, or than hold LOCAL_NUMBERS each.
+            few = data.coalesce(max(data.sparkSession.sparkContext.defaultParallelism, -(-size.n * d // LOCAL_NUMBERS)))
+            return self._newton(d, lambda beta: self._distributed(few, features, beta))
         finally:
             data.unpersist()
 

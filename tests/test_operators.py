@@ -95,6 +95,21 @@ def test_exact_gram_is_symmetric_and_positive(cells):
     assert np.allclose(full, want) and np.linalg.eigvalsh(full).min() > -1e-9
 
 
+def test_partial_embeddings_are_no_larger_than_cells(spark, monkeypatch):
+    """Bags of few cells in a partition send the cells, not a sum each; both give the mean."""
+    x = np.random.default_rng(5).normal(size=(3000, 2))
+    bag = np.where(np.arange(3000) < 400, 0, np.arange(3000))  # one bag of 400 cells, others of one
+    df = spark.createDataFrame([(int(b), v.tolist()) for b, v in zip(bag, x, strict=True)], "bag_id long, features array<double>")
+    sent = []
+    real = kernels._added_up
+    monkeypatch.setattr(kernels, "_added_up", lambda part, *more: sent.append(part) or real(part, *more))
+    w = kernels.fourier_weights(2, 64, 1.0, 3)
+    got = {r.bag_id: r.embedding for r in kernels.embeddings(df, w).collect()}
+    phi = np.concatenate([np.cos(x @ w.T), np.sin(x @ w.T)], axis=1) / 8.0
+    assert len(got) == 2601 and all(np.allclose(got[b], phi[bag == b].mean(axis=0), atol=1e-12) for b in (0, 400, 2999))
+    assert sent[0].agg(F.sum(F.size("s") + F.size("x"))).first()[0] <= 2600 * 2 + 4 * 128
+
+
 @pytest.mark.parametrize("d,width", [(1, 30.0), (2, 4.0), (3, 1.0), (2, 1e4)])
 def test_exact_gram_of_many_cells(spark, d, width):
     """Bags of many cells by their mean terms, or by tiles where the range is too wide, against NumPy."""
