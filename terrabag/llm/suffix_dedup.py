@@ -127,15 +127,31 @@ def marks_of(docs: list[bytes]) -> list[np.ndarray]:
 # ---- arrays and levels
 
 
-def fold(entries: np.ndarray) -> np.ndarray:
+def _sorted_by(column: np.ndarray, runs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(order, values) of a sort; `runs`: the column is a few sorted runs, which a stable sort only merges."""
+    values = np.ascontiguousarray(column)
+    order = np.argsort(values, kind="stable" if runs else None)
+    return order, values[order]
+
+
+def _reduced(how: np.ufunc, column: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
+    return how.reduceat(np.ascontiguousarray(column)[order], head)
+
+
+def fold(entries: np.ndarray, runs: bool = False) -> np.ndarray:
     """Sorted distinct entries by (hash, check): the least row, and whether there was more than one entry."""
     if not len(entries):
         return entries
-    e = entries[np.lexsort((entries["check"], entries["hash"]))]
-    head = np.flatnonzero(np.concatenate([[True], (e["hash"][1:] != e["hash"][:-1]) | (e["check"][1:] != e["check"][:-1])]))
-    out = e[head]
-    out["row"] = np.minimum.reduceat(e["row"], head)
-    out["twice"] = np.maximum(np.maximum.reduceat(e["twice"], head), np.diff(np.append(head, len(e))) > 1)
+    order, h = _sorted_by(entries["hash"], runs)
+    check = np.ascontiguousarray(entries["check"])
+    c, same = check[order], h[1:] == h[:-1]
+    if np.any(same & (c[1:] != c[:-1])):  # a 64-bit hash of different strings: sort by both
+        order = np.lexsort((check, entries["hash"]))
+        c = check[order]
+    head = np.flatnonzero(np.concatenate([[True], ~same | (c[1:] != c[:-1])]))
+    out = entries[order[head]]
+    out["row"] = _reduced(np.minimum, entries["row"], order, head)
+    out["twice"] = np.maximum(_reduced(np.maximum, entries["twice"], order, head), np.diff(np.append(head, len(order))) > 1)
     return out
 
 
@@ -147,19 +163,19 @@ class Levels:
 
     def take(self, array: np.ndarray) -> None:
         while self.levels and len(self.levels[-1]) <= len(array):
-            array = fold(np.concatenate([self.levels.pop(), array]))
+            array = fold(np.concatenate([self.levels.pop(), array]), True)
         self.levels.append(array)
 
     def all(self) -> np.ndarray:
         while len(self.levels) > 1:
             last = self.levels.pop()
-            self.levels[-1] = fold(np.concatenate([self.levels[-1], last]))
+            self.levels[-1] = fold(np.concatenate([self.levels[-1], last]), True)
         return self.levels[0] if self.levels else np.empty(0, WINDOW)
 
 
 def find(table: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
     """Position in the sorted distinct table of each (hash, check); all of them are there."""
-    at = np.searchsorted(table["hash"], hashes)
+    at = np.searchsorted(np.ascontiguousarray(table["hash"]), np.ascontiguousarray(hashes))
     wrong = np.flatnonzero(table["check"][np.minimum(at, len(table) - 1)] != checks)
     while len(wrong):
         at[wrong] += 1
@@ -182,29 +198,29 @@ def piece_entries(marks: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return p, a
 
 
-def fold_anchors(entries: np.ndarray) -> np.ndarray:
+def fold_anchors(entries: np.ndarray, runs: bool = False) -> np.ndarray:
     """Sorted distinct anchors: twice bit 0: more than one entry; bit 1: entries of different pieces."""
     if not len(entries):
         return entries
-    e = entries[np.argsort(entries["hash"], kind="stable")]
-    head = np.flatnonzero(np.concatenate([[True], e["hash"][1:] != e["hash"][:-1]]))
-    out = e[head]
-    low, high = np.minimum.reduceat(e["row"], head), np.maximum.reduceat(e["row"], head)
-    more = np.diff(np.append(head, len(e))) > 1
-    out["twice"] = np.bitwise_or.reduceat(e["twice"], head) | more | ((low != high) * 2)
+    order, h = _sorted_by(entries["hash"], runs)
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    out = entries[order[head]]
+    low, high = _reduced(np.minimum, entries["row"], order, head), _reduced(np.maximum, entries["row"], order, head)
+    more = np.diff(np.append(head, len(order))) > 1
+    out["row"], out["twice"] = low, _reduced(np.bitwise_or, entries["twice"], order, head) | more | ((low != high) * 2)
     return out
 
 
 class AnchorLevels(Levels):
     def take(self, array: np.ndarray) -> None:
         while self.levels and len(self.levels[-1]) <= len(array):
-            array = fold_anchors(np.concatenate([self.levels.pop(), array]))
+            array = fold_anchors(np.concatenate([self.levels.pop(), array]), True)
         self.levels.append(array)
 
     def all(self) -> np.ndarray:
         while len(self.levels) > 1:
             last = self.levels.pop()
-            self.levels[-1] = fold_anchors(np.concatenate([self.levels[-1], last]))
+            self.levels[-1] = fold_anchors(np.concatenate([self.levels[-1], last]), True)
         return self.levels[0] if self.levels else np.empty(0, ANCHOR)
 
 
@@ -279,13 +295,19 @@ def _look(table: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarr
     """Position of each (hash, check) in the sorted distinct table, or -1."""
     if not len(table):
         return np.full(len(hashes), -1)
-    at = np.searchsorted(table["hash"], hashes)
-    out = np.full(len(hashes), -1)
-    open_ = np.arange(len(hashes))
+    hashes, checks = np.ascontiguousarray(hashes), np.ascontiguousarray(checks)
+    known, marks = np.ascontiguousarray(table["hash"]), np.ascontiguousarray(table["check"])
+    at = np.searchsorted(known, hashes)
+    near = np.minimum(at, len(known) - 1)
+    met = known[near] == hashes
+    hit = met & (marks[near] == checks)
+    out = np.where(hit, near, -1)
+    open_ = np.flatnonzero(met & ~hit)
+    at[open_] += 1
     while len(open_):
         open_ = open_[at[open_] < len(table)]
-        open_ = open_[table["hash"][at[open_]] == hashes[open_]]
-        hit = table["check"][at[open_]] == checks[open_]
+        open_ = open_[known[at[open_]] == hashes[open_]]
+        hit = marks[at[open_]] == checks[open_]
         out[open_[hit]] = at[open_[hit]]
         open_ = open_[~hit]
         at[open_] += 1
@@ -379,13 +401,14 @@ def _own_windows(table: pa.Table) -> pa.Table:
 
 def _finished(did, data: bytes, repeated: np.ndarray) -> tuple:
     """Result columns of a text from the starts of its repeated windows."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, repeated, 1)
-    np.add.at(edge, repeated + WIDTH, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-    return did, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()
+    flag = np.zeros(len(data) + 1, bool)
+    flag[repeated] = True
+    starts = np.flatnonzero(flag)
+    split = np.flatnonzero(np.diff(starts) > WIDTH) + 1
+    begin = starts[np.concatenate([[0], split])].tolist() if len(starts) else []
+    end = (starts[np.concatenate([split - 1, [len(starts) - 1]])] + WIDTH).tolist() if len(starts) else []
+    kept = b"".join(data[x:y] for x, y in zip([0, *end], [*begin, len(data)], strict=True))
+    return did, len(data), len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest()
 
 
 _OUT = {"did": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}

@@ -247,6 +247,42 @@ def test_repeated_bytes_in_pieces(monkeypatch):
     assert m["start"][0] == 0 and np.array_equal(m["start"][1:], (m["start"] + m["many"])[:-1]) and m["start"][-1] + m["many"][-1] == 9000 - 199
 
 
+def test_folds_by_hash_alone():
+    """Entries of one hash and different checks stay apart; sorted runs fold as their concatenation does; what is covered, byte by byte."""
+    rng = np.random.default_rng(8)
+    e = np.zeros(5000, suffix_dedup.PIECE)
+    e["hash"], e["check"], e["row"], e["twice"] = rng.integers(0, 400, 5000), rng.integers(0, 3, 5000), rng.integers(0, 99, 5000), rng.integers(0, 50, 5000) == 0
+    want = {}
+    for h, c, row, twice in e.tolist():
+        old = want.get((h, c))
+        want[h, c] = (row, twice) if old is None else (min(row, old[0]), 1)
+    once = suffix_dedup.fold(e)
+    assert [tuple(x) for x in once.tolist()] == [(*k, *want[k]) for k in sorted(want)]
+    halves = np.concatenate([suffix_dedup.fold(e[:2000]), suffix_dedup.fold(e[2000:])])
+    assert np.array_equal(suffix_dedup.fold(halves, True), once)
+    at = suffix_dedup._look(once, np.append(e["hash"], 1000).astype(np.uint64), np.append(e["check"], 1))
+    assert at[-1] == -1 and np.array_equal(once[at[:-1]]["hash"], e["hash"]) and np.array_equal(once[at[:-1]]["check"], e["check"])
+    data = rng.integers(97, 123, 3000).astype(np.uint8).tobytes()
+    for starts in ([], [0], [2800], [5, 5, 205, 406, 30], list(range(2801))):
+        gone = [any(s <= i < s + 200 for s in starts) for i in range(3000)]
+        kept = bytes(x for x, g in zip(data, gone, strict=True) if not g)
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        assert suffix_dedup._finished(1, data, np.array(starts, int)) == (1, 3000, sum(gone), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_folds_are_fast():
+    """The owner's work grows with its entries: a fold of a million takes one quick sort, not two slow ones."""
+    calls = []
+    real = np.lexsort
+    try:
+        np.lexsort = lambda *a: calls.append(a) or real(*a)
+        e = np.zeros(1000, suffix_dedup.PIECE)
+        e["hash"] = np.random.default_rng(9).integers(0, 2**63, 1000)
+        assert len(suffix_dedup.fold(np.concatenate([e, e]))) == 1000 and not calls
+    finally:
+        np.lexsort = real
+
+
 def test_levels_grow_geometrically():
     family = suffix_dedup.Levels()
     for i in range(37):
