@@ -14,7 +14,8 @@ from terrabag.storage import materialize
 
 from . import kernels as k
 from . import stats
-from .solvers import MAX_DUAL_BAGS, FitResult, KernelLogistic, PrimalLogistic, collect_gram
+from .solvers import LANDMARKS, MAX_DUAL_BAGS, FitResult, KernelLogistic, PrimalLogistic, collect_gram
+from .vector_pairs import VectorPairs
 
 #: Valid triples of representation, decision kernel and solver.
 METHODS = {("exact_kme", "linear", "dual"): "M0", ("rff", "linear", "primal"): "M1", ("rff", "rbf", "dual"): "M2", ("sliced_wasserstein", "rbf", "dual"): "M3"}
@@ -125,22 +126,41 @@ class DistributionClassifier:
         if self.spec.solver == "primal":
             self.result = PrimalLogistic(self.lam, self.max_iter, min(self.tol, 1e-6)).fit(self._represent(x, ("bag_id", "label")), "embedding")
             return self
-        known = {r.bag_id: r.label for r in cells.groupBy("bag_id").agg(F.max("label").alias("label")).limit(MAX_DUAL_BAGS + 1).collect()}
-        if len(known) > MAX_DUAL_BAGS:
-            raise ValueError(f"a dual model holds {MAX_DUAL_BAGS} bags at most; more need a primal one")
+        labels = cells.groupBy("bag_id").agg(F.max("label").alias("label"))
+        if self.spec.decision == "linear":
+            labels = labels.limit(MAX_DUAL_BAGS + 1)
+        known = {r.bag_id: r.label for r in labels.collect()}
+        if len(known) > MAX_DUAL_BAGS and self.spec.decision == "linear":
+            raise ValueError(f"a dual model of the exact kernel holds {MAX_DUAL_BAGS} bags at most; more need a primal one")
         ids = sorted(known)
         # Written once, so that fitting and every later prediction read the same rows.
         self.train = materialize(self._represent(x), "train")
+        y, solver = np.array([known[b] for b in ids]), KernelLogistic(self.lam, self.max_iter, self.tol)
+        self.bag_ids = ids
+        given = None if self.auto_sigma else self.decision_sigma
+        if len(ids) > MAX_DUAL_BAGS:
+            held = VectorPairs(cells.sparkSession, self._train_vectors()[1])
+            try:
+                self.decision_sigma_ = given or held.median() or 1.0
+                at = np.random.default_rng(self.seed).choice(len(ids), min(LANDMARKS, len(ids)), replace=False)
+                self.result = solver.fit_products(lambda v: held.product(v, self.decision_sigma_), held.columns(at, self.decision_sigma_), at, y)
+            finally:
+                held.close()
+            return self
         gram = collect_gram(self._gram(self.train, None), ids).values
         if self.spec.decision == "rbf":
             apart = gram[np.triu_indices(len(ids), 1)]
             apart = apart[apart > 0]
-            self.decision_sigma_ = self.decision_sigma if not self.auto_sigma and self.decision_sigma else float(np.median(apart)) if len(apart) else 1.0
+            self.decision_sigma_ = given or (float(np.median(apart)) if len(apart) else 1.0)
             gram = np.exp(-(gram**2) / (2 * self.decision_sigma_**2))
-        self.result = KernelLogistic(self.lam, self.max_iter, self.tol).fit(gram, np.array([known[b] for b in ids]))
-        self.bag_ids = ids
+        self.result = solver.fit(gram, y)
         return self
 
+    def _train_vectors(self) -> tuple[list, np.ndarray]:
+        """Training bags in order, and their vectors."""
+        held = self.train.toArrow().sort_by("bag_id")
+        return held.column("bag_id").to_pylist(), k._matrix(held.column("embedding"))
+
     def predict(self, cells: DataFrame) -> DataFrame:
         """(bag_id, suitability) of every bag."""
         if self.result is None:
@@ -160,19 +180,20 @@ class DistributionClassifier:
         return self.predict(cells).withColumn("predicted", (F.col("suitability") >= threshold).cast("int"))
 
     def _weighed_by_train(self, rep: DataFrame) -> DataFrame:
-        """(bag_id, eta) of one vector a bag against all training vectors, which every task holds: MAX_DUAL_BAGS of the model's size."""
-        held = self.train.toArrow().sort_by("bag_id")
-        order = {b: i for i, b in enumerate(held.column("bag_id").to_pylist())}
+        """(bag_id, eta) of one vector a bag against all training vectors, which the driver and every task hold."""
+        ids, vectors = self._train_vectors()
+        order = {b: i for i, b in enumerate(ids)}
         alpha = np.array([a for _, a in sorted(zip((order[b] for b in self.bag_ids), self.result.coefficients, strict=True))])
-        known = rep.sparkSession.sparkContext.broadcast((k._matrix(held.column("embedding")), alpha))
+        known = rep.sparkSession.sparkContext.broadcast((vectors, alpha))
         scale = -0.5 / self.decision_sigma_**2
 
         def score(batches):
             t, a = known.value
+            step = max(1, k.PAIRS // len(t))
             for b in batches:
                 if b.num_rows:
                     v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    eta = np.concatenate([np.exp(k.squared_distances(v[i : i + 256], t) * scale) @ a for i in range(0, len(v), 256)])
+                    eta = np.concatenate([np.exp(k.squared_distances(v[i : i + step], t) * scale) @ a for i in range(0, len(v), step)])
                     yield pa.RecordBatch.from_arrays([b.column("bag_id"), pa.array(eta)], ["bag_id", "eta"])
 
         return rep.mapInArrow(score, f"bag_id {dict(rep.dtypes)['bag_id']}, eta double")

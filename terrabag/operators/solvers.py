@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The dual solver holds an N x N matrix on the driver; more bags than this need a primal model.
+#: Up to as many bags the dual solver holds an N x N matrix on the driver; beyond, it needs products with the matrix only.
 MAX_DUAL_BAGS = 5_000
+#: Columns of the matrix that precondition such a solve, and its relative residual.
+LANDMARKS, RESIDUAL = 256, 1e-7
 #: Rows times features up to which the primal solver works on the driver.
 LOCAL_NUMBERS = 4_000_000
 
@@ -87,6 +89,60 @@ class KernelLogistic:
                 return FitResult(alpha, True, it, value, None, jitter)
         return FitResult(alpha, False, self.max_iter, loss(alpha), "maximum_iterations", jitter)
 
+    def fit_products(self, product, columns: np.ndarray, at: np.ndarray, y: np.ndarray) -> FitResult:
+        """As fit(), for a positive matrix K that only product(v) = K v knows; `columns` are those of K at the places `at`.
+
+        Each step's system is solved by conjugate gradients, preconditioned by the low-rank matrix that the columns span.
+        """
+        n, y = len(y), np.asarray(y, float)
+        floor = max(self.min_prob, np.finfo(float).eps)
+        half = np.linalg.cholesky(columns[at] + 1e-8 * len(at) * np.eye(len(at)))
+        span = np.linalg.solve(half, columns.T).T
+        alpha = np.full(n, 1.0 / n)
+        eta = product(alpha)
+
+        def loss() -> float:
+            return float(np.mean(np.logaddexp(0, eta) - y * eta) + 0.5 * self.lam * alpha @ eta)
+
+        for it in range(1, self.max_iter + 1):
+            p = stable_sigmoid(eta)
+            q = np.clip(p, floor, 1 - floor)
+            w = q * (1 - q)
+            z = eta + (y - p) / w
+            if not (np.all(np.isfinite(z)) and np.all(np.isfinite(w))):
+                return FitResult(alpha, False, it, float("nan"), "nonfinite_irls_state")
+            s = np.sqrt(w)
+            inner = self.lam * np.eye(span.shape[1]) + sum((span[i : i + 4096] * w[i : i + 4096, None]).T @ span[i : i + 4096] for i in range(0, n, 4096))
+            eased = lambda r: (r - s * (span @ np.linalg.solve(inner, span.T @ (s * r)))) / self.lam  # noqa: B023, E731
+            got = self._conjugate(lambda v: s * product(s * v) + self.lam * v, eased, s * z, alpha / s, (s * eta + self.lam * alpha / s))  # noqa: B023
+            if got is None:
+                return FitResult(alpha, False, it, loss(), "linear_solve_failed")
+            new = s * got
+            step, alpha = np.max(np.abs(new - alpha)), new
+            eta = product(alpha)
+            if not np.isfinite(value := loss()):
+                return FitResult(alpha, False, it, value, "nonfinite_loss")
+            if step <= self.tol:
+                return FitResult(alpha, True, it, value)
+        return FitResult(alpha, False, self.max_iter, loss(), "maximum_iterations")
+
+    @staticmethod
+    def _conjugate(apply, eased, b: np.ndarray, x: np.ndarray, applied: np.ndarray, most: int = 1000) -> np.ndarray | None:
+        """Solution of apply(x) = b from a start whose product is `applied`; None if it doesn't come close."""
+        r, limit = b - applied, RESIDUAL * max(np.linalg.norm(b), 1e-12)
+        d = h = eased(r)
+        rh = r @ h
+        for _ in range(most):
+            if np.linalg.norm(r) <= limit:
+                return x
+            moved = apply(d)
+            a = rh / (d @ moved)
+            x, r = x + a * d, r - a * moved
+            h = eased(r)
+            rh, old = r @ h, rh
+            d = h + (rh / old) * d
+        return x if np.linalg.norm(r) <= 5e-3 * max(np.linalg.norm(b), 1e-12) else None
+
 
 @dataclass
 class PrimalLogistic:

@@ -52,6 +52,22 @@ def test_models_tell_classes_apart_and_survive_the_archive(spark, data, tmp_path
     assert all(abs(again[k] - v) < 2e-6 for k, v in p.items())
 
 
+@pytest.mark.parametrize("spec", [c.ModelSpec.m2(16), c.ModelSpec.m3(4, 8)])
+def test_dual_models_of_more_bags_than_a_matrix_holds(spark, monkeypatch, spec):
+    """Fitted by products with the kernel, a model has the bandwidth and the scores that the whole matrix gives."""
+    cells = synthetic.synthetic_bags(spark, synthetic.Scenario("mean_shift", 60, 61, 5, 2, effect_size=0.7)).persist()
+    whole = c.DistributionClassifier(spec).fit(cells)
+    monkeypatch.setattr(c, "MAX_DUAL_BAGS", 100)
+    monkeypatch.setattr(c, "LANDMARKS", 20)
+    parts = c.DistributionClassifier(spec).fit(cells)
+    assert len(parts.bag_ids) > 100 and parts.result.converged and whole.result.converged
+    assert abs(parts.decision_sigma_ - whole.decision_sigma_) < 1e-9
+    want = {r.bag_id: r.suitability for r in whole.predict(cells).collect()}
+    assert all(abs(want[r.bag_id] - r.suitability) < 1e-5 for r in parts.predict(cells).collect())
+    with pytest.raises(ValueError, match="100 bags"):
+        c.DistributionClassifier(c.ModelSpec.m0()).fit(cells)
+
+
 def test_archive_refuses(spark, tmp_path):
     with pytest.raises(ValueError, match="fitted"):
         archive.save_model(c.DistributionClassifier(c.ModelSpec.m1()), str(tmp_path))
