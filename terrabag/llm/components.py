@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import join_dealt, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("u", "m"))
     least = materialize(least, "star")
     total = max(1, least.agg(F.sum("degree")).first()[0] or 1)
-    near = join_hot(around, least, "u", "degree", total)
+    near = join_dealt(around, least, "u", "degree", total)
     out = near.filter(F.col("v") <= F.col("u") if small else F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if small:
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
@@ -31,7 +31,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node that has an edge; component is the least node that it reaches.
 
-    Hot nodes are joined with broadcast tables of bounded size. Loops and repeated edges do no harm; nulls are ignored.
+    Hot nodes are dealt over parts. Loops and repeated edges do no harm; nulls are ignored.
     """
     now = materialize(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u != v").distinct(), "edges")
     said = _digest(now)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import NULL_ID, join_hot, materialize, public_id, texts
+from .common import NULL_ID, join_dealt, materialize, public_id, texts
 from .components import connected_components
 from .exact_dedup import answer_runs, owners_for, runs_by_owner
 from .shingles import WordHashes, mix, shingle_set
@@ -252,7 +252,7 @@ def links_in_blocks(bodies: DataFrame, left: DataFrame, right: DataFrame | None,
     met = materialize(met.filter("rows_a > 1") if right is None else met, "blocks")
 
     def dealt(rows: DataFrame, weight: str, own: str, other: str) -> DataFrame:
-        placed = join_hot(rows, met, "g", weight, max(1, rows.count())).join(texts_, "x")
+        placed = join_dealt(rows, met, "g", weight, max(1, rows.count())).join(texts_, "x")
         mine = F.pmod(F.xxhash64("x"), F.col(own)).cast("int")
         if right is not None:
             facing = F.sequence(F.lit(0), F.col(other) - 1)
@@ -283,12 +283,12 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str
     base = classes.select("cid", "n", "a", "b")
 
     one = materialize(base.select("cid", F.explode("a").alias("key")), "first-keys")
-    shared = one.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    alive = join_hot(one, shared, "key", "size", total * m).select("cid").distinct()
+    shared = materialize(one.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-keys")
+    alive = join_dealt(one, shared, "key", "size", total * m).select("cid").distinct()
     pair_keys = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key")
     tables = materialize(base.join(alive, "cid", "left_semi").select("cid", "n", pair_keys), "tables")
-    repeated = tables.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    member = materialize(join_hot(tables, repeated, "key", "size", tables.count()).select("key", "cid", "n"), "members")
+    repeated = materialize(tables.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "repeated-keys")
+    member = materialize(join_dealt(tables, repeated, "key", "size", tables.count()).select("key", "cid", "n"), "members")
 
     picked = classes.select("cid", F.col("rep").alias("did"), "tk", "n").join(member.select("cid").distinct(), "cid", "left_semi")
     # Batches of rows of one task: an exchange by pid never meets more of them.
@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str
         """rows with the centre p of their table: the node with the fewest shingles of its own. Tables of one node go."""
         order = (F.col("n") - F.col("shared")) * F.lit(2**32) + F.xxhash64("cid").bitwiseAND(F.lit(2**32 - 1))
         stats = rows.groupBy("key").agg(F.min_by("cid", order).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        return materialize(join_hot(rows, materialize(stats, "centres"), "key", "size", max(1, rows.count())), "starred")
+        return materialize(join_dealt(rows, materialize(stats, "centres"), "key", "size", max(1, rows.count())), "starred")
 
     member = starred(member.select("key", "cid", "n", "shared"))
     tested = None
@@ -327,7 +327,7 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str
     reach = close.groupBy("g").agg(F.max("away").alias("most"), F.count(F.lit(1)).alias("size"))
     far = materialize(far.join(reach.select("g", "most"), "g").filter(F.col("away") <= F.col("most") + tau + 1e-9), "far")
     need = far.groupBy("g").agg(F.min("away").alias("least")).join(reach.select("g", "size"), "g")
-    close = materialize(join_hot(close, materialize(need, "need"), "g", "size", max(1, tested.count())).filter(F.col("away") >= F.col("least") - tau - 1e-9).select("g", "x"), "close")
+    close = materialize(join_dealt(close, materialize(need, "need"), "g", "size", max(1, tested.count())).filter(F.col("away") >= F.col("least") - tau - 1e-9).select("g", "x"), "close")
     more = links_in_blocks(bodies, far.select("g", "x"), close, percent, width)
     rest = materialize(member.select(F.col("p").alias("g"), F.col("cid").alias("x")).distinct(), "rest")
     more = materialize(more.unionByName(links_in_blocks(bodies, rest, None, percent, width)), "block-links")
@@ -336,9 +336,9 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str
 
     least = comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     named = least.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("nodes"))
-    named = join_hot(least, materialize(named, "least"), "component", "nodes", max(1, comp.count())).select(F.col("node").alias("cid"), "least")
+    named = join_dealt(least, materialize(named, "least"), "component", "nodes", max(1, comp.count())).select(F.col("node").alias("cid"), "least")
     roots = classes.select("cid", "skey", "size", "rep").join(named, "cid", "left").select("skey", "size", F.coalesce("least", "rep").alias("component"))
-    placed = join_hot(filled.select("did", "tk", "n", "skey"), roots, "skey", "size", total).select("did", "tk", "n", "component")
+    placed = join_dealt(filled.select("did", "tk", "n", "skey"), materialize(roots, "roots"), "skey", "size", total).select("did", "tk", "n", "component")
     return placed.unionByName(signed.filter("n = 0").select("did", "tk", "n", F.col("did").alias("component")))
 
 

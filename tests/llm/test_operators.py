@@ -503,6 +503,31 @@ def test_semi_join_hot(spark, monkeypatch):
         assert got.columns == ["k", "v"] and sorted(r.v for r in got.collect()) == want
 
 
+def test_join_dealt(spark):
+    """Hot and other keys meet their row of stats once; the plan is the same with and without hot keys and has no anti-join."""
+    from terrabag.llm import common
+
+    nodes = []
+    for hot in (True, False):
+        rows = spark.createDataFrame([(7 if hot and i % 2 else i // 2, i) for i in range(4000)], "k long, v long")
+        stats = rows.groupBy("k").count().filter("k % 3 = 1")
+        got = common.join_dealt(rows, stats, "k", "count", 4000)
+        want = {r.v: (r.k, r["count"]) for r in rows.join(stats, "k").collect()}
+        assert got.columns == ["k", "v", "count"] and sorted((r.v, (r.k, r["count"])) for r in got.collect()) == sorted(want.items())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        nodes.append(re.findall(r"Join \w+|Union|Generate", plan))
+    assert nodes[0] == nodes[1] and "Join LeftAnti" not in nodes[0]
+
+
+def test_near_dedup_has_no_anti_join(spark):
+    """Rows of a large group of equal sets, which is a hot key, and others go through one join."""
+    rows = [(i, "one and the same text of these many rows" if i % 4 else f"text {i} of its own and of no other row") for i in range(400)]
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert got == {i: 1 if i % 4 else i for i in range(400)}
+
+
 def test_columns_of_any_name(spark):
     """Columns that the operators could have used themselves come back as they were."""
     names = ["__id", "__text", "__new", "__source", "__times", "__key", "line_id", "line_text", "mix_key", "mix_source", "MIX_TIMES"]
