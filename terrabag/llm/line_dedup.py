@@ -23,11 +23,12 @@ MIN_TOKENS = 1
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(did, tk, pos, line, n, floor, leaf, t1, t2) of every line that isn't blank; t1 and t2 are hashes of the masked line."""
-    # The hash of the text is made below the explode, once a text instead of once a line.
-    whole = docs.select("did", F.xxhash64("text").alias("tk"), F.split("text", "\n").alias("parts"))
-    rows = whole.select("did", "tk", F.posexplode("parts").alias("pos", "line"))
-    rows = rows.withColumn("line", F.regexp_replace(F.trim("line"), "[0-9]+", "<*>"))
-    rows = rows.filter("line != ''").withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= MIN_TOKENS)
+    # Texts are hashed, masked and split below the explode, once each: Spark evaluates again what a filter above it reads, and splits
+    # twice for an explode that isn't outer. No text splits into nothing, so the outer one adds no row.
+    whole = docs.select("did", F.xxhash64("text").alias("tk"), F.split(F.regexp_replace("text", "[0-9]+", "<*>"), "\n").alias("parts"))
+    rows = whole.select("did", "tk", F.posexplode_outer("parts").alias("pos", "line")).withColumn("line", F.trim("line")).filter("line != ''")
+    rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.filter(F.col("n") >= MIN_TOKENS) if MIN_TOKENS > 1 else rows
     rows = rows.withColumn("floor", F.when(F.octet_length("line") >= LONG_BYTES, LONG_DOCS).otherwise(MIN_DOCS))
     lead = F.substring_index("line", " ", DEPTH)
     return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("t1", F.xxhash64("line")).withColumn("t2", F.xxhash64(F.lit("t"), "line"))
@@ -98,11 +99,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result. Columns of any name are kept as they are.
     """
     columns = docs.columns
-    own_id, own_text, did, tk, gone = (free(n, columns) for n in ("line_id", "line_text", "line_did", "line_tk", "line_drop"))
+    own_id, own_text, did, tk, gone, split = (free(n, columns) for n in ("line_id", "line_text", "line_did", "line_tk", "line_drop", "line_parts"))
     drops = recurring_lines(texts(docs, id_col, text_col)).select(F.col("did").alias(did), F.col("tk").alias(tk), F.col("drop").alias(gone))
     keyed = docs.withColumn(own_id, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).withColumn(own_text, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     met = keyed.join(drops.hint("merge"), (F.col(own_id) == F.col(did)) & (F.col(own_text) == F.col(tk)), "left")
-    parts = F.split(F.col(text_col), "\n")
+    # A column of its own: within transform the text would be split again for every line.
+    met = met.withColumn(split, F.when(F.col(gone).isNotNull(), F.split(F.col(text_col), "\n")))
+    parts = F.col(split)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     rest = F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
     met = met.withColumn(own_text, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))

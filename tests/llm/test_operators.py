@@ -466,6 +466,14 @@ def test_line_dedup_lines_of_one_token(spark):
     assert got == {i: (t if i == 0 else t.replace("Les.\n", "")).replace(f"\n{passage}", "" if i == 9 else f"\n{passage}") for i, t, *_ in out}
 
 
+def test_line_dedup_masks_and_splits_texts_once(spark, docs):
+    """Spark evaluates again what filters read, and within a lambda once an element."""
+    lines = line_dedup._lines(docs.selectExpr("doc_id AS did", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count("regexp_replace(") == 1 and lines.count("split(") == 1
+    out = line_dedup.line_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"transform\([^\n]*split\(", out) and out.count("split(") == 1
+
+
 def test_line_dedup_several_templates_of_a_leaf(spark):
     """Two templates and a frequent verbatim line of the same length and start, and templates with one field of 4 tokens and 3 of 10."""
     out, of = [], lambda *w: " ".join(w)
