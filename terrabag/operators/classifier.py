@@ -184,17 +184,15 @@ class DistributionClassifier:
         ids, vectors = self._train_vectors()
         order = {b: i for i, b in enumerate(ids)}
         alpha = np.array([a for _, a in sorted(zip((order[b] for b in self.bag_ids), self.result.coefficients, strict=True))])
-        known = rep.sparkSession.sparkContext.broadcast((vectors, alpha))
-        scale = -0.5 / self.decision_sigma_**2
+        centre, sigma = vectors.mean(axis=0), self.decision_sigma_
+        known = rep.sparkSession.sparkContext.broadcast((k.right_factor(vectors - centre), alpha))
 
         def score(batches):
             t, a = known.value
-            step = max(1, k.PAIRS // len(t))
             for b in batches:
                 if b.num_rows:
                     v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    eta = np.concatenate([np.exp(k.squared_distances(v[i : i + step], t) * scale) @ a for i in range(0, len(v), step)])
-                    yield pa.RecordBatch.from_arrays([b.column("bag_id"), pa.array(eta)], ["bag_id", "eta"])
+                    yield pa.RecordBatch.from_arrays([b.column("bag_id"), pa.array(k.gaussian_sums(k.left_factor(v - centre), t, a, sigma))], ["bag_id", "eta"])
 
         return rep.mapInArrow(score, f"bag_id {dict(rep.dtypes)['bag_id']}, eta double")
 

@@ -169,3 +169,23 @@ def test_cross_validation_scores_every_bag_once(data):
     plan = fold_plan(data.groupBy("bag_id").agg(F.max("label").alias("label")), 2, 1, 3).select("fold", "bag_id")
     r = c.cross_validate(c.DistributionClassifier(c.ModelSpec.m1(16)), data, plan, 2).collect()
     assert len(r) == len({x.bag_id for x in r}) == 16
+
+
+def test_vector_pairs_against_the_whole_matrix(spark, monkeypatch):
+    """Median and products, also where the sampled bounds miss the median, few distances may be sorted, or all rows are equal."""
+    from terrabag.operators import vector_pairs
+    from terrabag.operators.kernels import GaussianKernel
+
+    rng = np.random.default_rng(1)
+    sets = [rng.normal(size=(700, 5)), np.repeat(rng.normal(size=(2, 3)), 50, axis=0), np.eye(40), rng.normal(size=(300, 4)) + 1e3, np.ones((30, 3))]
+    for bounds in (None, (0.001, 0.0011)):
+        if bounds:
+            monkeypatch.setattr(vector_pairs.VectorPairs, "_bracket", lambda self: bounds)
+            monkeypatch.setattr(vector_pairs, "SORTED", 10)
+        for x in sets:
+            held, v = vector_pairs.VectorPairs(spark, x), rng.normal(size=len(x))
+            apart = np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(len(x), 1)]
+            got = held.median()
+            assert got is None if not (apart > 0).any() else abs(got - np.median(apart[apart > 0])) < 1e-9
+            assert np.allclose(held.product(v, got or 1.0), GaussianKernel(got or 1.0)(x, x) @ v, atol=1e-8)
+            held.close()

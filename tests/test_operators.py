@@ -272,3 +272,19 @@ def test_running_sums_by_ranges(spark, monkeypatch):
     one = [near(f()) for f in forms]
     monkeypatch.setattr(stats, "ONE_TASK", 0)
     assert [near(f()) for f in forms] == one
+
+
+def test_embeddings_of_many_small_bags(spark):
+    """Bags that span batches and partitions, of null and equal ids too, are read through in tasks, not by a call each."""
+    x = np.random.default_rng(6).normal(size=(30_000, 2))
+    bag = [None if i % 1000 == 7 else f"b{i % 12_000}" for i in range(30_000)]
+    df = spark.createDataFrame([(b, i % 2, v.tolist()) for i, (b, v) in enumerate(zip(bag, x, strict=True))], "bag_id string, label int, features array<double>")
+    w = kernels.fourier_weights(2, 3, 1.0, 3)
+    out = kernels.embeddings(df, w, ("bag_id", "label"))
+    assert "InArrow" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroupsInArrow" not in plan
+    phi, want = np.concatenate([np.cos(x @ w.T), np.sin(x @ w.T)], axis=1) / math.sqrt(3), {}
+    for i, b in enumerate(bag):
+        want.setdefault((b, i % 2), []).append(phi[i])
+    got = out.collect()
+    assert len(got) == len(want) and all(np.allclose(r.embedding, np.mean(want[r.bag_id, r.label], axis=0), atol=1e-12) for r in got)
+    assert kernels.embeddings(df.limit(0), w).isEmpty()
