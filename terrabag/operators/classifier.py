@@ -99,7 +99,7 @@ class DistributionClassifier:
         if self.spec.representation == "rff":
             return k.embeddings(cells, self.weights, keep)
         if self.spec.representation == "sliced_wasserstein":
-            return k.quantile_vectors(k.quantile_embeddings(cells, self.directions, self.spec.quantiles))
+            return k.quantile_rows(cells, self.directions, self.spec.quantiles)
         return cells.select("bag_id", *[c for c in ("cell_id",) if c in cells.columns], "features")
 
     def _gram(self, left: DataFrame, right: DataFrame | None) -> DataFrame:

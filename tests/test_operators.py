@@ -288,3 +288,17 @@ def test_embeddings_of_many_small_bags(spark):
     got = out.collect()
     assert len(got) == len(want) and all(np.allclose(r.embedding, np.mean(want[r.bag_id, r.label], axis=0), atol=1e-12) for r in got)
     assert kernels.embeddings(df.limit(0), w).isEmpty()
+
+
+def test_quantile_rows(spark):
+    """Bags of one cell, that span batches, of a null id: the vectors of the column expressions, without a row a projection."""
+    rng = np.random.default_rng(7)
+    bag = ["wide"] * 13_000 + [None] * 5 + [f"b{i // 3}" for i in range(900)] + ["one"]
+    df = spark.createDataFrame([(b, v.tolist()) for b, v in zip(bag, rng.normal(size=(len(bag), 2)).round(1), strict=True)], "bag_id string, features array<double>")
+    t = kernels.unit_directions(2, 5, 1)
+    out = kernels.quantile_rows(df, t, 4)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.bag_id: r.embedding for r in kernels.quantile_vectors(kernels.quantile_embeddings(df, t, 4)).collect()}
+    got = {r.bag_id: r.embedding for r in out.collect()}
+    assert len(want) == 303 and got.keys() == want.keys() and all(np.allclose(got[b], want[b], atol=1e-12) for b in want)
+    assert kernels.quantile_rows(df.limit(0), t, 4).isEmpty()
