@@ -89,17 +89,17 @@ def recurring_lines(body: DataFrame) -> DataFrame:
     return hit.groupBy("did", "tk").agg(F.collect_set("pos").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", keep_whole: bool = False) -> DataFrame:
     """docs with recurring lines dropped from the text, and count_col, if docs has it, set to the new number of code points.
 
-    All rows stay, in the columns of docs; a text that loses every line becomes empty. Blank lines stay. A null
+    All rows stay, in the columns of docs; a text that loses every line becomes empty or, with keep_whole, stays as it is. Blank lines stay. A null
     text stays null and counts as empty; a null doc_id counts as the least id. Rows that repeat a doc_id are documents of their own if
     their texts differ, and count once if not. Very long texts are split whole. Of templates that
     explain equally much, the one with more constant tokens counts, then the one of the larger hash. An empty table gives an empty
     result. Columns of any name are kept as they are.
     """
     columns = docs.columns
-    own_id, own_text, did, tk, gone, split = (free(n, columns) for n in ("line_id", "line_text", "line_did", "line_tk", "line_drop", "line_parts"))
+    own_id, own_text, did, tk, gone, split, same = (free(n, columns) for n in ("line_id", "line_text", "line_did", "line_tk", "line_drop", "line_parts", "line_same"))
     drops = recurring_lines(texts(docs, id_col, text_col)).select(F.col("did").alias(did), F.col("tk").alias(tk), F.col("drop").alias(gone))
     keyed = docs.withColumn(own_id, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).withColumn(own_text, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     met = keyed.join(drops.hint("merge"), (F.col(own_id) == F.col(did)) & (F.col(own_text) == F.col(tk)), "left")
@@ -108,13 +108,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.col(split)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     rest = F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
-    met = met.withColumn(own_text, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
+    lost = ~F.exists(stay, lambda i: F.trim(F.element_at(parts, i + 1)) != "") if keep_whole else F.lit(False)
+    met = met.withColumn(same, F.col(gone).isNull() | lost)
+    met = met.withColumn(own_text, F.when(F.col(same), F.col(text_col)).otherwise(rest))
     out = []
     for c in columns:
         if c == text_col:
             out.append(F.col(own_text).alias(c))
         elif c == count_col:
-            out.append(F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.char_length(own_text)).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(same), F.col(c)).otherwise(F.char_length(own_text)).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(c))
     return met.select(*out)

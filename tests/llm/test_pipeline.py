@@ -62,3 +62,14 @@ def test_stages_of_odd_rows(spark):
         ids = {str(r.doc_id) for r in out.collect()}
         assert ids == kept[name] if name in kept else ids <= {str(r[0]) for r in EDGE}
         assert stage(spark, docs.limit(0), DATA).isEmpty()
+
+
+def test_copies_leave_no_empty_texts(spark):
+    """A copy would lose every line; it stays whole for the next stage, which drops it."""
+    text = "\n".join(f"line {a} of a text that was copied as a whole, word by word" for a in ("one", "two", "three"))
+    rows = [(i, text if i < 3 else f"{text.split(chr(10))[0]}\n\n{('ships sail at dawn', 'my aunt grows five red pears there')[i - 3]}", "en", "s", 7, 1, None) for i in range(5)]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = materialize(stages["line_dedup"](spark, spark.createDataFrame(rows, COLUMNS), DATA), "t")
+    assert {r.doc_id: r.text for r in docs.collect()} == {i: text if i < 3 else t.split("\n", 1)[1] for i, t, *_ in rows}
+    assert all(r.n_chars == (7 if r.doc_id < 3 else len(r.text)) for r in docs.collect())
+    assert {r.doc_id for r in stages["near_dedup"](spark, docs, DATA).collect()} == {0, 3, 4}
