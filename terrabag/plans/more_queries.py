@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from terrabag.operators import builders, classifier as c, evaluation as ev, folds, grid as g, prediction, solvers
 
 from .catalogue import query
-from .views import CELLS, GRID, SCORED, cells, grid, people, scored, table
+from .views import CELLS, GRID, SCORED, cells, grid, people, scored, sql_round, table
 
 _U = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE"
 
 
 @query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE WHEN event_id % 17 = 0 THEN NULL ELSE round(value, 6) END AS value FROM events) WHERE value IS NOT NULL AND NOT isnan(value)")
 def drop_missing_rows(spark, d):
-    v = F.when(F.col("event_id") % 11 == 0, float("inf")).when(F.col("event_id") % 13 == 0, float("nan")).when(F.col("event_id") % 17 == 0, None).otherwise(F.col("value"))
+    v = F.when(F.col("event_id") % 11 == 0, float("inf")).when(F.col("event_id") % 13 == 0, float("nan")).when(F.col("event_id") % 17 == 0, None).otherwise(sql_round(F.col("value")))
     return builders.drop_missing(table(spark, d, "events").select("event_id", v.alias("value")), ["value"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabag.functions.expressions import vector
@@ -83,6 +83,14 @@ scored AS (
 )"""
 
 
+def sql_round(c: Column, digits: int = 6) -> Column:
+    """round(c, digits) of doubles as DuckDB has it: the product with 10^digits to the nearest integer, halves away from 0. Spark's own
+    rounds the shortest decimal, which differs where that ends in a 5 or the product isn't exact."""
+    unit = F.lit(10.0**digits)
+    there = F.round(c * unit) / unit
+    return F.when(F.abs(there) < float("inf"), there).otherwise(c)  # the product may overflow
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """df with doubles rounded, and arrays of doubles too."""
     out = []

@@ -58,6 +58,17 @@ def test_matched_background_bags(spark, sf):
     assert len(got) == len(set(got)) and set(got) == want and len({r[0] for r in got}) == len(sites)
 
 
+def test_drop_missing_rows_rounds_as_sql(spark, tmp_path):
+    """Values whose seventh digit is a 5, and values too large for a product with a million to be exact."""
+    con = duckdb.connect()
+    tie = "round((i % 997) / 1e3, 3) + (2 * i + 1) * 5e-7"
+    special = "CASE i % 7 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN 1e305 ELSE -0.4e-6 END"
+    con.execute(f"COPY (SELECT i AS event_id, CASE i % 4 WHEN 0 THEN {tie} WHEN 1 THEN -({tie}) WHEN 2 THEN i * pow(10, i % 60 - 30) / 7 ELSE {special} END AS value FROM range(20000) r(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in catalogue.queries()["drop_missing_rows"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.oracle_sql()["drop_missing_rows"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
