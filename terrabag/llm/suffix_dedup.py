@@ -2,8 +2,8 @@
 
 Every window of WIDTH bytes has an anchor: the start of its least-hashed K bytes, the rightmost of equal ones. Equal windows have equal
 anchors at equal offsets, so suffixes need to be indexed at anchors only. The entries of an array stand for suffixes, ordered by hashes
-of their leading bytes rather than by the bytes, since only matches of a fixed length count. Each partition is a batch with arrays of
-its own; the owner of a range of hashes takes in one batch after the other: a new array is merge-scanned with the levels it meets, and
+of their leading bytes rather than by the bytes, since only matches of a fixed length count. About BATCH bytes of a partition are a batch
+with arrays of its own; the owner of a range of hashes takes in one batch after the other: a new array is merge-scanned with the levels it meets, and
 levels merge when the new one is as large, so sizes grow geometrically.
 
 Two such families are used. The first holds anchors and pieces (all bytes that the windows of one anchor cover): a piece that recurs has
@@ -28,8 +28,12 @@ from .shingles import mix
 WIDTH, K = 200, 32
 #: Bytes that are looked at together; an anchor's place within them takes PLACE_BITS bits.
 CHUNK, PLACE_BITS = 1 << 20, 22
-#: Entries that one owner handles, about.
-PER_OWNER = 500_000
+#: Entries that one owner handles, about; as many meet a batch's answers at a time.
+PER_OWNER = 1_000_000
+#: Entries of several batches that an owner sorts before it takes them in.
+AT_ONCE = PER_OWNER // 8
+#: Bytes of text in a batch, about, and bits of its number within a partition.
+BATCH, BATCH_BITS = 1 << 24, 24
 
 MARK = np.dtype([("key", "<u8"), ("piece", "<u8"), ("start", "<u4"), ("many", "<u2")])
 SPAN = np.dtype([("start", "<u4"), ("many", "<u2"), ("code", "<u1")])
@@ -238,12 +242,31 @@ def _table(columns: dict, types: dict) -> pa.Table:
 # ---- first family: anchors and pieces
 
 
-def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-            marks = marks_of([x.encode("utf-8") for x in part.column("text").to_pylist()])
-            cols = [part.column(c) for c in ("pid", "did", "tk", "size", "sha")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([m.tobytes() for m in marks], pa.binary())], ["pid", "did", "tk", "size", "sha", "marks"])
+def _batched(most: int):
+    """Rows of a partition, whose `pid` is the partition's number, with that of their batch instead: `most` bytes of text, by `size`."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            if b.num_rows:
+                size = b.column("size").to_numpy()
+                ends = done + np.cumsum(size)
+                pid = (b.column("pid").to_numpy() << BATCH_BITS) + (ends - size) // most
+                done = int(ends[-1])
+                yield b.set_column(b.schema.get_field_index("pid"), "pid", pa.array(pid, pa.int64()))
+
+    return number
+
+
+def _marker(most: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batched(most)(batches):
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                marks = marks_of([x.encode("utf-8") for x in part.column("text").to_pylist()])
+                cols = [part.column(c) for c in ("pid", "did", "tk", "size", "sha")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([m.tobytes() for m in marks], pa.binary())], ["pid", "did", "tk", "size", "sha", "marks"])
+
+    return mark
 
 
 def _read(raw: bytes, kind: np.dtype) -> np.ndarray:
@@ -275,19 +298,32 @@ def _send_marks(bits: int):
     return send
 
 
+def _arrays(runs: list[bytes], kind: np.dtype, folded) -> Iterator[np.ndarray]:
+    """The runs of consecutive batches as arrays of AT_ONCE entries or of one run: merges grow with the number of arrays."""
+    for lo, hi in blocks([len(x) // kind.itemsize for x in runs], AT_ONCE):
+        yield _read(runs[lo], kind) if hi == lo + 1 else folded(_read(b"".join(runs[lo:hi]), kind))
+
+
+def _answers(whole: np.ndarray, asked: list[np.ndarray]) -> list[bytes]:
+    """What `whole` has of each of the arrays and recurs. All are looked up at once: a look-up goes through the table, an owner has as many
+    arrays as there are batches."""
+    if not asked:
+        return []
+    mine = np.concatenate(asked)
+    got = whole[find(whole, mine["hash"], mine["check"])] if len(mine) else mine
+    return [x[x["twice"] > 0].tobytes() for x in np.split(got, np.cumsum([len(x) for x in asked])[:-1])]
+
+
 def _own_marks(table: pa.Table) -> pa.Table:
     """Tell every batch which of its pieces recur (and whose row sends them), and which of its anchors recur, with one piece or more."""
     pids, kinds, runs = (table.column(c).to_pylist() for c in ("pid", "kind", "run"))
-    families = (Levels(), AnchorLevels())
-    for kind, run in zip(kinds, runs, strict=True):
-        families[kind].take(_read(run, PIECE))
-    whole = [f.all() for f in families]
-    out = []
-    for kind, run in zip(kinds, runs, strict=True):
-        mine = _read(run, PIECE)
-        at = find(whole[kind], mine["hash"], mine["check"])
-        got = whole[kind][at]
-        out.append(got[got["twice"] > 0].tobytes())
+    out = [b""] * len(runs)
+    for k, (family, folded) in enumerate(((Levels(), fold), (AnchorLevels(), fold_anchors))):
+        own = [i for i, kind in enumerate(kinds) if kind == k]
+        for array in _arrays([runs[i] for i in own], PIECE, folded):
+            family.take(array)
+        for i, answer in zip(own, _answers(family.all(), [_read(runs[i], PIECE) for i in own]), strict=True):
+            out[i] = answer
     return _table({"pid": pids, "kind": kinds, "answer": out}, {"pid": pa.int64(), "kind": pa.int64(), "answer": pa.binary()})
 
 
@@ -368,7 +404,13 @@ def _window_entries(data: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _send_windows(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, Levels] = {}
+        at, levels = None, Levels()
+
+        def runs() -> Iterator[pa.RecordBatch]:
+            rows = [(at, o, x.tobytes()) for o, x in _by_owner(levels.all(), bits)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["pid", "owner", "run"])
+
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -376,11 +418,11 @@ def _send_windows(bits: int):
                 for pid, text, raw in zip(*(part.column(c).to_pylist() for c in ("pid", "text", "spans")), strict=True):
                     fresh.setdefault(pid, []).append(_window_entries(text.encode("utf-8"), _read(raw, SPAN))[1])
                 for pid, xs in fresh.items():
-                    got.setdefault(pid, Levels()).take(fold(np.concatenate(xs)))
-        for pid, levels in got.items():
-            rows = [(pid, o, x.tobytes()) for o, x in _by_owner(levels.all(), bits)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["pid", "owner", "run"])
+                    if pid != at:  # a batch's rows follow one another, so only one is held; one met again sends another run
+                        yield from runs()
+                        at, levels = pid, Levels()
+                    levels.take(fold(np.concatenate(xs)))
+        yield from runs()
 
     return send
 
@@ -388,15 +430,13 @@ def _send_windows(bits: int):
 def _own_windows(table: pa.Table) -> pa.Table:
     pids, runs = (table.column(c).to_pylist() for c in ("pid", "run"))
     family = Levels()
-    for run in runs:
-        family.take(_read(run, WINDOW))
-    whole, out = family.all(), []
+    for array in _arrays(runs, WINDOW, fold):
+        family.take(array)
+    asked = []
     for run in runs:
         mine = _read(run, WINDOW)
-        ask = mine[mine["row"] == 0]
-        got = whole[find(whole, ask["hash"], ask["check"])] if len(ask) else ask
-        out.append(got[got["twice"] > 0].tobytes())
-    return _table({"pid": pids, "answer": out}, {"pid": pa.int64(), "answer": pa.binary()})
+        asked.append(mine[mine["row"] == 0])
+    return _table({"pid": pids, "answer": _answers(family.all(), asked)}, {"pid": pa.int64(), "answer": pa.binary()})
 
 
 def _finished(did, data: bytes, repeated: np.ndarray) -> tuple:
@@ -432,17 +472,20 @@ def _finish_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _finish_open(rows: pa.Table, answers: pa.Table) -> pa.Table:
     known = fold(_read(b"".join(answers.column("answer").to_pylist()), WINDOW))
     dids, bodies, raws = (rows.column(c).to_pylist() for c in ("did", "text", "spans"))
-    entries, plain, where = [], [], []
-    for text, raw in zip(bodies, raws, strict=True):
-        spans = _read(raw, SPAN)
-        start, e, _ = _window_entries(text.encode("utf-8"), spans[spans["code"] == OPEN])
-        entries.append(e)
-        where.append(start)
-        plain.append(_starts(spans[spans["code"] != OPEN]))
     out = []
-    for did, text, e, start, sure in zip(dids, bodies, entries, where, plain, strict=True):
-        hit = _look(known, e["hash"], e["check"]) >= 0
-        out.append(_finished(did, text.encode("utf-8"), np.concatenate([sure, start[hit]])))
+    # Many texts are looked up at once, as a look-up goes through the table.
+    for lo, hi in blocks([int(s["many"][s["code"] == OPEN].sum(dtype=np.int64)) for s in (_read(x, SPAN) for x in raws)], PER_OWNER):
+        entries, plain, where = [], [], []
+        for text, raw in zip(bodies[lo:hi], raws[lo:hi], strict=True):
+            spans = _read(raw, SPAN)
+            start, e, _ = _window_entries(text.encode("utf-8"), spans[spans["code"] == OPEN])
+            entries.append(e)
+            where.append(start)
+            plain.append(_starts(spans[spans["code"] != OPEN]))
+        every = np.concatenate(entries)
+        hits = np.split(_look(known, every["hash"], every["check"]) >= 0, np.cumsum([len(e) for e in entries])[:-1])
+        for did, text, hit, start, sure in zip(dids[lo:hi], bodies[lo:hi], hits, where, plain, strict=True):
+            out.append(_finished(did, text.encode("utf-8"), np.concatenate([sure, start[hit]])))
     cols = list(zip(*out, strict=True)) or [[] for _ in _OUT]
     return pa.table({k: pa.array(c, t) for (k, t), c in zip(_OUT.items(), cols, strict=True)})
 
@@ -458,7 +501,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     body = texts(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
     sized = body.withColumn("pid", F.shiftright(F.monotonically_increasing_id(), 33)).withColumn("size", F.octet_length("text").cast("long")).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    marked = materialize(sized.select("pid", "did", "tk", "size", "sha", "text").mapInArrow(_marker, "pid long, did long, tk long, size long, sha binary, marks binary"), "op4-marks")
+    marked = materialize(sized.select("pid", "did", "tk", "size", "sha", "text").mapInArrow(_marker(BATCH), "pid long, did long, tk long, size long, sha binary, marks binary"), "op4-marks")
     bits = _owners((marked.agg(F.sum(F.length("marks"))).first()[0] or 0) // MARK.itemsize * 2)
     runs = marked.select("pid", "did", "tk", "marks").mapInArrow(_send_marks(bits), "pid long, owner long, kind long, run binary")
     answers = runs.groupBy("owner").applyInArrow(_own_marks, "pid long, kind long, answer binary")
@@ -467,8 +510,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clean = coded.filter("state = 0").select("did", F.col("size").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"))
 
     touched = coded.filter("state > 0").groupBy("did", "tk").agg(F.max("spans").alias("spans"), F.max("state").alias("state"), F.max("emit").alias("emit"))
-    found = body.join(touched.hint("merge"), ["did", "tk"]).withColumn("pid", F.shiftright(F.monotonically_increasing_id(), 33))
-    found = materialize(found, "op4-touched")
+    found = body.join(touched.hint("merge"), ["did", "tk"]).withColumn("pid", F.shiftright(F.monotonically_increasing_id(), 33)).withColumn("size", F.octet_length("text").cast("long"))
+    found = materialize(found.select("pid", "did", "size", "text", "spans", "state", "emit").mapInArrow(_batched(BATCH), "pid long, did long, size long, text string, spans binary, state long, emit long"), "op4-touched")
     plain = found.filter(F.col("state") < OPEN).select("did", "text", "spans").mapInArrow(_finish_plain, _OUT_SQL)
     bits = _owners(found.agg(F.sum("emit")).first()[0] or 0)
     sent = found.filter("emit > 0").select("pid", "text", "spans").mapInArrow(_send_windows(bits), "pid long, owner long, run binary")

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrabag.llm import golomb, language_id, line_dedup, mixing, near_dedup, packing, secret_scan, suffix_dedup, token_count, winnowing
@@ -283,6 +284,38 @@ def test_folds_are_fast():
         np.lexsort = real
 
 
+def test_tables_are_gone_through_once(spark, monkeypatch):
+    """An owner looks up what all batches ask at once, a batch what all its texts ask, and a batch is no larger for a larger partition."""
+    calls = []
+    for name in ("find", "_look"):
+        monkeypatch.setattr(suffix_dedup, name, lambda *a, real=getattr(suffix_dedup, name): calls.append(1) or real(*a))
+    rng = np.random.default_rng(10)
+    runs = [suffix_dedup.fold(np.array([(h, 0, h % 2, 0) for h in rng.choice(3000, 100, replace=False)], suffix_dedup.WINDOW)) for _ in range(50)]
+    seen = collections.Counter(h for run in runs for h in run["hash"].tolist())
+    got = suffix_dedup._own_windows(pa.table({"pid": list(range(50)), "run": [x.tobytes() for x in runs]})).to_pydict()
+    assert len(calls) == 1 and got["pid"] == list(range(50))
+    for run, answer in zip(runs, got["answer"], strict=True):
+        assert suffix_dedup._read(answer, suffix_dedup.WINDOW)["hash"].tolist() == [h for h in run["hash"].tolist() if h % 2 == 0 and seen[h] > 1]
+    marks = pa.table({"pid": [*range(50)] * 2, "kind": [0] * 50 + [1] * 50, "run": [np.array([(h, 0, 7, 0) for h in sorted(set(x["hash"].tolist()))], suffix_dedup.PIECE).tobytes() for x in runs] * 2})
+    calls.clear()
+    for run, answer in zip([*runs, *runs], suffix_dedup._own_marks(marks).column("answer").to_pylist(), strict=True):
+        assert suffix_dedup._read(answer, suffix_dedup.PIECE)["hash"].tolist() == [h for h in run["hash"].tolist() if seen[h] > 1]
+    assert len(calls) == 2
+    texts = ["".join(map(chr, rng.integers(97, 123, 300))) for _ in range(30)]
+    span = np.array([(0, 101, suffix_dedup.OPEN)], suffix_dedup.SPAN).tobytes()
+    asked = [suffix_dedup.fold(suffix_dedup._window_entries(t.encode(), suffix_dedup._read(span, suffix_dedup.SPAN))[1][: 10 * (i % 3)]).tobytes() for i, t in enumerate(texts)]
+    calls.clear()
+    done = suffix_dedup._finish_open(pa.table({"did": list(range(30)), "text": texts, "spans": [span] * 30}), pa.table({"answer": asked}))
+    assert len(calls) == 1 and done.column("n_removed").to_pylist() == [200 + 10 * (i % 3) - 1 if i % 3 else 0 for i in range(30)]
+    sizes = [400] * 20
+    pids = lambda n: pa.RecordBatch.from_pydict({"pid": pa.array([n] * 10, pa.int64()), "size": pa.array(sizes[:10], pa.int64())})
+    numbered = [x for b in suffix_dedup._batched(1000)(iter([pids(3), pids(3)])) for x in b.column("pid").to_pylist()]
+    assert max(collections.Counter(numbered).values()) == 3 and numbered == sorted(numbered) and {x >> suffix_dedup.BATCH_BITS for x in numbered} == {3}
+    some = ["".join(texts[k] for k in rng.integers(0, 30, 5)) for _ in range(40)]
+    monkeypatch.setattr(suffix_dedup, "BATCH", 4000)
+    assert repeated(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)) == repeated_brute(list(enumerate(some)))
+
+
 def test_levels_grow_geometrically():
     family = suffix_dedup.Levels()
     for i in range(37):
