@@ -153,6 +153,23 @@ def test_distances_of_embeddings_meet_in_tiles(spark):
     assert np.allclose(held.value, np.linalg.norm(v[held.bag_i] - v[held.bag_j], axis=1), rtol=0, atol=1e-14)
 
 
+def test_distances_of_embeddings_need_no_shuffle(spark, monkeypatch):
+    """Vectors that a task can hold aren't copied to the pairs of tiles; rows are those of the tiles, for text ids and repeated ones too."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(700, 3))
+    ids = [f"b{i}" for i in rng.permutation(700)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "bag_id string, embedding array<double>")
+    got = kernels.embedding_distances(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    held = sorted(map(tuple, got.collect()))
+    twice = spark.createDataFrame([(1, [0.0, 1.0]), (0, [5.0, 5.0]), (1, [3.0, 5.0]), (2, [3.0, 5.0])], "bag_id int, embedding array<float>")
+    assert sorted(map(tuple, kernels.embedding_distances(twice).select("bag_i", "bag_j", F.round("value", 3)).collect())) == [(0, 0, 0.0), (0, 1, 2.0), (0, 1, 6.403), (0, 2, 2.0), (1, 1, 0.0), (1, 1, 0.0), (1, 1, 5.0), (1, 1, 5.0), (1, 2, 0.0), (1, 2, 5.0), (2, 2, 0.0)]
+    assert kernels.embedding_distances(df.limit(0)).isEmpty()
+    monkeypatch.setattr(kernels, "HELD_BYTES", 1000)
+    tiled = kernels.embedding_distances(df)
+    assert "Exchange" in tiled._jdf.queryExecution().executedPlan().toString() and held == sorted(map(tuple, tiled.collect()))
+
+
 def test_embeddings_agree_and_approximate(cells):
     w = kernels.fourier_weights(3, 6, 1.0, 1)
     a = {r.bag_id: r.embedding for r in kernels.embeddings(cells, w).collect()}
