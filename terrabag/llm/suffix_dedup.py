@@ -29,7 +29,7 @@ WIDTH, K = 200, 32
 #: Bytes that are looked at together; an anchor's place within them takes PLACE_BITS bits.
 CHUNK, PLACE_BITS = 1 << 20, 22
 #: Entries that one owner handles, about; as many meet a batch's answers at a time.
-PER_OWNER = 1_000_000
+PER_OWNER = 500_000
 #: Entries of several batches that an owner sorts before it takes them in.
 AT_ONCE = PER_OWNER // 8
 #: Bytes of text in a batch, about, and bits of its number within a partition.
@@ -198,7 +198,8 @@ def piece_entries(marks: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     """Piece and anchor entries of marks; an anchor's check is kept in `row`, so that fold() tells whether all its pieces agree."""
     p, a = np.zeros(len(marks), PIECE), np.zeros(len(marks), ANCHOR)
     p["hash"], p["check"], p["row"] = mix(marks["piece"] ^ (marks["key"] * _MUL[6])), marks["key"] & np.uint64(0xFFFFFFFF), rows
-    a["hash"], a["row"] = marks["key"], marks["piece"] & np.uint64(0xFFFFFFFF)
+    # Keys are the least of many hashes: unmixed, the first owners would get most of them.
+    a["hash"], a["row"] = mix(marks["key"] ^ _MUL[5]), marks["piece"] & np.uint64(0xFFFFFFFF)
     return p, a
 
 

@@ -316,6 +316,14 @@ def test_tables_are_gone_through_once(spark, monkeypatch):
     assert repeated(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)) == repeated_brute(list(enumerate(some)))
 
 
+def test_anchors_are_dealt_evenly():
+    """An anchor's hash is the least of many; its owners are as even as those of pieces."""
+    (marks,) = suffix_dedup.marks_of([np.random.default_rng(11).integers(97, 123, 300_000).astype(np.uint8).tobytes()])
+    for entries, fold in zip(suffix_dedup.piece_entries(marks, np.zeros(len(marks))), (suffix_dedup.fold, suffix_dedup.fold_anchors), strict=True):
+        sizes = [len(part) for _, part in suffix_dedup._by_owner(fold(entries), 6)]
+        assert len(sizes) == 64 and max(sizes) < 2 * len(marks) / 64
+
+
 def test_levels_grow_geometrically():
     family = suffix_dedup.Levels()
     for i in range(37):
